@@ -17,6 +17,18 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomdex.llm.toxicity import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomdex.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomdex.llm.exact_dedup import duplicate_groups
 
@@ -33,7 +45,7 @@ WINDOW same AS (PARTITION BY t)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op10_exact_dedup)
+    f.__name__: f for f in (op1_simhash_near_dedup, op7_toxicity, op8_quality, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {"op10_exact_dedup": OP10_SQL}
