@@ -17,6 +17,18 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomdex.llm.license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomdex.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomdex.llm.toxicity import classify
 
@@ -45,7 +57,7 @@ WINDOW same AS (PARTITION BY t)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op7_toxicity, op8_quality, op10_exact_dedup)
+    f.__name__: f for f in (op1_simhash_near_dedup, op3_license_scan, op5_source_mixing, op7_toxicity, op8_quality, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {"op10_exact_dedup": OP10_SQL}
