@@ -6,7 +6,7 @@ so that the source's totals of documents and of words stay what the probabilitie
 promise: it moves the probabilities of three documents at a time within the null
 space of both constraints until one of them is decided. Large sources are dealt
 into salted groups, each of which leaves at most two undecided documents; these
-are dealt again until each source is one group, whose last two documents are
+are dealt again until each source is one group, whose last few documents are
 landed so as to change the totals least.
 """
 
@@ -27,6 +27,8 @@ from loomdex.runtime import materialize
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Documents of a source that one task balances at once.
 GROUP_ROWS = 20_000
+#: Documents of a source that wait for the landing, besides those that flight leaves undecided.
+HELD = 12
 
 WHITESPACE = r"[\x20\x09-\x0D]+"
 
@@ -97,17 +99,13 @@ def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.nda
 
 
 def land(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Decide the at most two documents that flight leaves, changing totals of words, then of documents, least."""
+    """Decide the few documents that are left, changing the totals of words, then of documents, least."""
     out = pi.copy()
     left = np.flatnonzero((pi > 0) & (pi < 1))
-    best = None
-    for bits in range(1 << len(left)):
-        take = np.array([bits >> j & 1 for j in range(len(left))], float)
-        d = take - pi[left]
-        cost = (abs(float((d * size[left]).sum())), abs(float(d.sum())), bits)
-        if best is None or cost < best[0]:
-            best = (cost, take)
-    out[left] = best[1]
+    take = (np.arange(1 << len(left))[:, None] >> np.arange(len(left)) & 1).astype(float)
+    moved = take - pi[left]
+    cost = np.abs(moved @ size[left]) / max(1.0, size.mean()) + 0.01 * np.abs(moved.sum(axis=1))
+    out[left] = take[int(cost.argmin())]
     return out
 
 
@@ -118,7 +116,11 @@ def _balance(last: bool):
         first = rows.iloc[0]
         rng = np.random.default_rng(crc32(f"{first['source']}|{first['salt']}|{len(rows)}".encode("utf-8", "surrogatepass")))
         size = rows["size"].to_numpy(float)
-        pi = flight(rows["pi"].to_numpy(float), size, rng)
+        pi = rows["pi"].to_numpy(float)
+        held = np.zeros(len(pi), bool)
+        if last:  # documents of all sizes wait for the landing
+            held[np.linspace(0, len(pi) - 1, min(HELD, len(pi))).astype(int)] = True
+        pi[~held] = flight(pi[~held], size[~held], rng)
         if last:
             pi = land(pi, size)
         return rows.assign(pi=pi)
