@@ -17,6 +17,13 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomdex.llm.substring_dedup import dedup_substrings
+
+    found = dedup_substrings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomdex.llm.license_scan import scan
 
@@ -57,7 +64,7 @@ WINDOW same AS (PARTITION BY t)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op3_license_scan, op5_source_mixing, op7_toxicity, op8_quality, op10_exact_dedup)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_license_scan, op5_source_mixing, op7_toxicity, op8_quality, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {"op10_exact_dedup": OP10_SQL}
