@@ -30,6 +30,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomdex.llm.token_count import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomdex.llm.mixing import mix
 
@@ -48,6 +54,18 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomdex.llm.sentencepiece_codec import decode, encode
+
+    coded = decode(encode(table(spark, sf_dir, "documents")))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomdex.llm.exact_dedup import duplicate_groups
 
@@ -64,7 +82,7 @@ WINDOW same AS (PARTITION BY t)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_license_scan, op5_source_mixing, op7_toxicity, op8_quality, op10_exact_dedup)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_license_scan, op4_token_count, op5_source_mixing, op7_toxicity, op8_quality, op9_sentencepiece, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {"op10_exact_dedup": OP10_SQL}
