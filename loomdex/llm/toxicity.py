@@ -24,21 +24,25 @@ from loomdex.llm.labelled import held_out, training_rows
 
 #: Fixed parameters of the model. A text counts as having SMOOTHING words more, of vector 0,
 #: so that a very short text isn't judged by chance.
-BUCKETS, DIMENSIONS, NGRAMS, SMOOTHING = 1 << 22, 4, (3, 4, 5, 6, 7), 10
+BUCKETS, DIMENSIONS, NGRAMS, SMOOTHING = 1 << 22, 4, (3, 4, 5, 6), 10
 #: Parameters of training; MAX_ROWS bounds the labelled sample. A bucket that is met in
 #: fewer texts than MIN_TEXTS keeps the vector 0.
-MAX_ROWS, MIN_TEXTS, EPOCHS, BATCH, RATE, SCALE = 8000, 6, 8, 32, 0.5, 100.0
+MAX_ROWS, MIN_TEXTS, EPOCHS, MOST_EPOCHS, BATCH, RATE, SCALE = 6000, 6, 10, 40, 32, 0.5, 100.0
 #: Words whose number a worker remembers before it starts over.
 CACHE_WORDS = 400_000
 
 _WORD = re.compile(r"\w+")
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of a word and of its character n-grams with boundary marks."""
+def subwords(word: str) -> list[str]:
+    """A word and its character n-grams with boundary marks."""
     marked = f"<{word}>"
-    parts = [marked, *(marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1))]
-    return [crc32(p.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for p in parts]
+    size = len(marked)
+    return [marked, *[marked[i : i + n] for n in NGRAMS for i in range(size - n + 1)]]
+
+
+def bucket(part: str) -> int:
+    return crc32(part.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
 
 
 def words_of(text: str | None) -> set[str]:
@@ -46,47 +50,56 @@ def words_of(text: str | None) -> set[str]:
     return {m[0] for m in _WORD.finditer((text or "").lower())}
 
 
-def train(bags: list[list[str]], y: np.ndarray, seed: int = 1) -> tuple[dict[int, float], float]:
-    """(number of each kept bucket, bias) of a classifier of word bags, trained by gradient descent; classes weigh alike.
+def train(bags: list[list[str]], y: np.ndarray, seed: int = 1) -> tuple[dict[str, float], float]:
+    """(number of each subword that is kept, bias) of a classifier of word bags.
 
-    With rows of one class only, all scores are near that class; without rows, near 0.
+    Trained by gradient descent; classes weigh alike. With rows of one class only, all scores
+    are near that class; without rows, near 0.
     """
     y = np.asarray(y, np.int64)
     if len(y) == 0 or y.min() == y.max():
         return {}, 20.0 if len(y) and y[0] == 1 else -20.0
     number: dict[str, int] = {}
     docs = [np.array([number.setdefault(w, len(number)) for w in words], np.int64) for words in bags]
-    parts = [np.array(subwords(w), np.int32) for w in number]
-    size = np.array(list(map(len, parts)), np.int64)
-    start = np.cumsum(size) - size
-    flat = np.concatenate(parts)
-    del parts, number
-    texts = np.bincount(np.concatenate(docs), minlength=len(size))
-    met = np.bincount(flat, np.repeat(texts, size), BUCKETS)
+    texts = np.bincount(np.concatenate(docs).astype(np.int64), minlength=len(number))
+    vocabulary = list(number)
+    del number
+    met, chunks = np.zeros(BUCKETS), []
+    for at in range(0, len(vocabulary), 20_000):
+        parts = [[bucket(p) for p in subwords(w)] for w in vocabulary[at : at + 20_000]]
+        sizes = np.array(list(map(len, parts)), np.int64)
+        flat = np.fromiter((i for p in parts for i in p), np.int32, int(sizes.sum()))
+        met += np.bincount(flat, np.repeat(texts[at : at + 20_000], sizes), BUCKETS)
+        chunks.append((flat, sizes))
     kept = np.flatnonzero(met >= MIN_TEXTS)
-    index = np.full(BUCKETS, len(kept), np.int32)
+    index = np.full(BUCKETS, -1, np.int32)
     index[kept] = np.arange(len(kept), dtype=np.int32)
-    flat = index[flat]
+    del met
+    size = np.concatenate([s for _, s in chunks])  # of all subwords; those kept are in flat
+    live = [index[f] for f, _ in chunks]
+    held = np.concatenate([np.add.reduceat((i >= 0).astype(np.int64), np.cumsum(s) - s) for i, (_, s) in zip(live, chunks, strict=True)])
+    flat = np.concatenate([i[i >= 0] for i in live])
+    start = np.cumsum(held) - held
+    del chunks, live
 
     rng = np.random.default_rng(seed)
-    emb = rng.normal(0, 0.02, (len(kept) + 1, DIMENSIONS))
-    emb[-1] = 0
+    emb = rng.normal(0, 0.02, (len(kept), DIMENSIONS))
     soft, bias = np.array(rng.normal(0, 0.5, (DIMENSIONS, 2))), np.zeros(2)
     weight = np.array([len(y) / (2 * (y == c).sum()) for c in (0, 1)])
-    for epoch in range(EPOCHS):
+    epochs = min(MOST_EPOCHS, max(EPOCHS, EPOCHS * MAX_ROWS // (2 * len(y))))
+    for epoch in range(epochs):
         order = rng.permutation(len(y))
-        rate = RATE * (1 - epoch / EPOCHS)
+        rate = RATE * (1 - epoch / epochs)
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
             words = np.concatenate([docs[i] for i in rows])
             of_doc = np.repeat(np.arange(len(rows)), [len(docs[i]) for i in rows])
-            sizes = size[words]
+            sizes = held[words]
             of_word = np.repeat(np.arange(len(words)), sizes)
             ids = flat[np.arange(len(of_word)) - np.repeat(np.cumsum(sizes) - sizes - start[words], sizes)]
             counts = np.array([len(docs[i]) + SMOOTHING for i in rows])
-            vals = (SCALE / (sizes * counts[of_doc]))[of_word]
-            live = ids < len(kept)
-            ids, vals, owner = ids[live], vals[live], of_doc[of_word][live]
+            vals = (SCALE / (size[words] * counts[of_doc]))[of_word]
+            owner = of_doc[of_word]
             hidden = np.stack([np.bincount(owner, vals * emb[ids, d], len(rows)) for d in range(DIMENSIONS)], axis=1)
             logits = hidden @ soft + bias
             prob = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -98,21 +111,28 @@ def train(bags: list[list[str]], y: np.ndarray, seed: int = 1) -> tuple[dict[int
                 emb[:, d] -= rate * np.bincount(ids, vals * back[owner, d], len(emb))
             soft -= rate * 0.1 * (hidden.T @ delta)
             bias -= rate * 0.1 * delta.sum(axis=0)
-    return dict(zip(kept.tolist(), (SCALE * (emb[:-1] @ (soft[:, 1] - soft[:, 0]))).tolist(), strict=True)), float(bias[1] - bias[0])
+    value = (SCALE * (emb @ (soft[:, 1] - soft[:, 0]))).tolist()
+    numbers: dict[str, float] = {}
+    place = index.tolist()
+    for w in vocabulary:
+        for p in subwords(w):
+            if p not in numbers and (i := place[bucket(p)]) >= 0:
+                numbers[p] = value[i]
+    return numbers, float(bias[1] - bias[0])
 
 
 class WordScores(dict):
     """Word to the mean of its subwords' numbers."""
 
-    def __init__(self, numbers: dict[int, float]):
+    def __init__(self, numbers: dict[str, float]):
         super().__init__()
         self.numbers = numbers
 
     def __missing__(self, word: str) -> float:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        ids = subwords(word)
-        value = self[word] = sum(self.numbers.get(i, 0.0) for i in ids) / len(ids)
+        get, parts = self.numbers.get, subwords(word)
+        value = self[word] = sum([get(p, 0.0) for p in parts]) / len(parts)
         return value
 
 
@@ -122,7 +142,7 @@ def score_text(text: str | None, words: WordScores, bias: float) -> float:
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, mean + bias))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> tuple[dict[int, float], float]:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> tuple[dict[str, float], float]:
     """Train on a bounded labelled sample. The driver gets the distinct words of its texts."""
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     return train([w.split() for w in found["words"]], found["y"].to_numpy())
 
 
-def scored(docs: DataFrame, model: tuple[dict[int, float], float], name: str = "score") -> DataFrame:
+def scored(docs: DataFrame, model: tuple[dict[str, float], float], name: str = "score") -> DataFrame:
     """``docs`` and a column of scores of the whole texts; null counts as empty, and empty texts score the bias."""
     numbers, bias = model
     shared = docs.sparkSession.sparkContext.broadcast(numbers)
