@@ -42,6 +42,13 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomdex.llm.ann import search
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomdex.llm.toxicity import classify
 
@@ -82,7 +89,7 @@ WINDOW same AS (PARTITION BY t)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_license_scan, op4_token_count, op5_source_mixing, op7_toxicity, op8_quality, op9_sentencepiece, op10_exact_dedup)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_license_scan, op4_token_count, op5_source_mixing, op6_nearest_neighbours, op7_toxicity, op8_quality, op9_sentencepiece, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {"op10_exact_dedup": OP10_SQL}
