@@ -179,8 +179,12 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` that score below ``threshold``; columns as they are, whatever their names."""
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, training: DataFrame | None = None) -> DataFrame:
+    """Rows of ``docs`` that score below ``threshold``; columns as they are, whatever their names.
+
+    The classifier learns from the labelled rows of ``training``, by default of ``docs``.
+    """
     columns = [docs[c] for c in docs.columns]
-    kept = scored(docs.select(F.struct(*columns).alias("r"), docs["text"].alias("text")), fit(docs, labels))
+    model = fit(docs if training is None else training, labels)
+    kept = scored(docs.select(F.struct(*columns).alias("r"), docs["text"].alias("text")), model)
     return kept.where(F.col("score") < threshold).select("r.*")
