@@ -62,13 +62,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from loomdex.llm.sentencepiece_codec import decode, encode
+    from loomdex.llm.sentencepiece_codec import round_trip
 
-    coded = decode(encode(table(spark, sf_dir, "documents")))
-    return coded.select(
+    return round_trip(table(spark, sf_dir, "documents")).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.xxhash64("ids").alias("ids_xxhash64"),
         F.sha2("text", 256).alias("decoded_sha256"),
     )
 

@@ -31,6 +31,8 @@ from loomdex.runtime import materialize
 
 #: Documents of more characters are split into chunks of so many.
 GIANT, CHUNK = 65_536, 32_768
+#: Rows that a worker sends back at once.
+ROWS = 256
 
 #: No path.
 NEVER = -(1 << 60)
@@ -227,20 +229,29 @@ def encode(docs: DataFrame, model: bytes | None = None, giant: int = GIANT, chun
     Ids of the best unigram segmentation of the whole text with the model's pieces and scores; empty or null
     text has none. An empty table gives no rows; rows that repeat are encoded each.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model or read_model())
+    return round_trip(docs, model, giant, chunk).select("doc_id", "ids")
+
 
-    @F.pandas_udf("array<int>")
-    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        run = segmenter(shared.value).encode
-        for texts in batches:
-            yield pd.Series([np.array(run(t), np.int32) for t in texts])
+def round_trip(docs: DataFrame, model: bytes | None = None, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+    """As :func:`encode`, and ``text`` as :func:`decode` makes it of the ids, in the same pass over the documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(model or read_model())
 
-    text = F.coalesce(docs["text"], F.lit(""))
-    small = docs.where(F.length(text) <= giant).select(docs["doc_id"].alias("doc_id"), ids_of(text).alias("ids"))
-    large = docs.where(F.length(text) > giant).select(
-        F.coalesce(docs["doc_id"], F.lit(0)).alias("id"), docs["doc_id"].isNull().alias("no_id"), text.alias("text")
+    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s = segmenter(shared.value)
+        for rows in batches:
+            for at in range(0, len(rows), ROWS):  # small batches back: ids take more room than texts
+                part = rows.iloc[at : at + ROWS]
+                ids = [np.frombuffer(s.encode_packed(t), np.int32) for t in part["text"]]
+                yield pd.DataFrame({"id": part["id"], "no_id": part["no_id"], "ids": ids, "text": list(map(s.decode, ids))})
+
+    rows = docs.select(
+        F.coalesce(docs["doc_id"], F.lit(0)).alias("id"),
+        docs["doc_id"].isNull().alias("no_id"),
+        F.coalesce(docs["text"], F.lit("")).alias("text"),
     )
-    return small.unionByName(_giants(large, shared, chunk))
+    small = rows.where(F.length("text") <= giant).mapInPandas(coded, "id long, no_id boolean, ids array<int>, text string")
+    small = small.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "ids", "text")
+    return small.unionByName(decode(_giants(rows.where(F.length("text") > giant), shared, chunk), model))
 
 
 def decode(encoded: DataFrame, model: bytes | None = None) -> DataFrame:
@@ -251,6 +262,6 @@ def decode(encoded: DataFrame, model: bytes | None = None) -> DataFrame:
     def text_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         run = segmenter(shared.value).decode
         for ids in batches:
-            yield pd.Series([run(i.tolist() if i is not None else ()) for i in ids], dtype=object)
+            yield pd.Series([run(i if i is not None else ()) for i in ids], dtype=object)
 
     return encoded.withColumn("text", text_of(encoded["ids"]))

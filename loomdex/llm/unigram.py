@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from dataclasses import dataclass, field
 
 import ahocorasick
+import numpy as np
 
 SPACE = "▁"
 #: Texts between cuts whose segmentation a worker remembers before it starts over, and how long they may be.
@@ -100,6 +102,22 @@ def read_vocabulary(model: bytes) -> Vocabulary:
     )
 
 
+class _Words(dict):
+    """What a function makes of short texts, remembered."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str):
+        made = self.make(word)
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = made
+        return made
+
+
 class Segmenter:
     """Viterbi over texts whose spaces are plain; positions are characters."""
 
@@ -118,8 +136,13 @@ class Segmenter:
         #: Texts between cuts; the whole text if a piece may reach over a space.
         self.between = re.compile(rf"[{stops}]| *[^ {stops}]+| +" if alone else r" *[^ ]+| +") if not inner else re.compile(r"(?s).+")
         self.alone, self.cuts = frozenset(alone), not inner
-        self.counts: dict[str, int] = {}
-        self.ids: dict[str, tuple[int, ...]] = {}
+        self.counts = _Words(self.count_word)
+        self.ids = _Words(self._segment)
+        value = {i: bytes([b]) for b, i in enumerate(vocabulary.bytes_ or [])}
+        texts = [value.get(i, b"" if i in vocabulary.controls else t.encode()) for i, t in enumerate(vocabulary.texts)]
+        if texts:
+            texts[vocabulary.unknown] = " ⁇ ".encode()
+        self.raw = np.array([*texts, None], object)[:-1]
 
     def is_cut(self, text: str, at: int) -> bool:
         """No piece reaches across position ``at``, 0 < at < len(text)."""
@@ -173,30 +196,46 @@ class Segmenter:
                 out.append(v.unknown)
         return out
 
-    def _segment(self, word: str) -> list[int]:
-        _, back, piece = self.forward(word)
-        return self.ids_of(word, self.path(word, back, piece, len(word))[1])
+    def _segment(self, word: str) -> bytes:
+        """Ids of a text between cuts, as packed 32-bit integers: the recursion of forward() in one pass over the matches."""
+        n = len(word)
+        best: list[int | None] = [0] + [None] * n
+        back, piece = [-1] * (n + 1), [-1] * (n + 1)
+        single, unknown_score = self.single, self.vocabulary.unknown_score
+        done = 0
+        for at, (size, score, i) in self.automaton.iter(word) if self.vocabulary.pieces else ():
+            end = at + 1
+            while done < end - 1:  # all matches that end there are in
+                done += 1
+                base = best[done - 1]
+                if base is not None and word[done - 1] not in single and (best[done] is None or base + unknown_score > best[done]):
+                    best[done], back[done] = base + unknown_score, done - 1
+                    piece[done] = -1
+            base = best[end - size]
+            if base is not None and (best[end] is None or base + score > best[end]):
+                best[end], back[end], piece[end] = base + score, end - size, i
+        while done < n:
+            done += 1
+            base = best[done - 1]
+            if base is not None and word[done - 1] not in single and (best[done] is None or base + unknown_score > best[done]):
+                best[done], back[done] = base + unknown_score, done - 1
+                piece[done] = -1
+        ids = self.ids_of(word, self.path(word, back, piece, n)[1])
+        return array("i", ids).tobytes()
 
-    def word_ids(self, word: str) -> tuple[int, ...]:
-        found = self.ids.get(word)
-        if found is None:
-            found = tuple(self._segment(word))
-            if len(word) <= CACHE_CHARS:
-                if len(self.ids) >= CACHE_WORDS:
-                    self.ids.clear()
-                self.ids[word] = found
-        return found
+    def word_ids(self, word: str) -> array:
+        return array("i", self.ids[word])
 
     def prefixed(self, text: str | None) -> str:
         text = (text or "").replace(SPACE, " ")
         return " " + text if text and self.vocabulary.dummy_prefix else text
 
+    def encode_packed(self, text: str | None) -> bytes:
+        """Ids of a whole text as packed 32-bit integers; none for empty or null."""
+        return b"".join(map(self.ids.__getitem__, self.between.findall(self.prefixed(text))))
+
     def encode(self, text: str | None) -> list[int]:
-        """Ids of a whole text; none for empty or null."""
-        out, get = [], self.ids.get
-        for word in self.between.findall(self.prefixed(text)):
-            out.extend(get(word) or self.word_ids(word))
-        return out
+        return array("i", self.encode_packed(text)).tolist()
 
     def count_word(self, word: str) -> int:
         """Number of pieces: the dynamic program carries score and count only, no path."""
@@ -229,38 +268,13 @@ class Segmenter:
         """Number of pieces of a whole text."""
         if not self.vocabulary.bytes_:
             return len(self.encode(text))
-        total, get = 0, self.counts.get
-        for word in self.between.findall(self.prefixed(text)):
-            n = get(word)
-            if n is None:
-                n = self.count_word(word)
-                if len(word) <= CACHE_CHARS:
-                    if len(self.counts) >= CACHE_WORDS:
-                        self.counts.clear()
-                    self.counts[word] = n
-            total += n
-        return total
-
-    def decode(self, ids) -> str:
+        return sum(map(self.counts.__getitem__, self.between.findall(self.prefixed(text))))
+
+    def decode(self, ids: np.ndarray) -> str:
         """The text of ids: control pieces vanish, byte pieces are joined to UTF-8, the dummy prefix goes."""
-        v = self.vocabulary
-        value = {i: b for b, i in enumerate(v.bytes_)} if v.bytes_ else {}
-        out, raw = [], bytearray()
-        for i in ids:
-            if i in value:
-                raw.append(value[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw = bytearray()
-            if i == v.unknown:
-                out.append(" ⁇ ")
-            elif i not in v.controls:
-                out.append(v.texts[i])
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out)
-        return text[1:] if v.dummy_prefix and text.startswith(" ") else text
+        raw = b"".join(self.raw[np.asarray(ids, np.int64)].tolist())
+        text = raw.decode("utf-8", "replace")
+        return text[1:] if self.vocabulary.dummy_prefix and text.startswith(" ") else text
 
 
 _loaded: dict[int, tuple[bytes, Segmenter]] = {}
