@@ -1 +1 @@
-
+"""Column functions: hashing, paths, text, vectors, requests."""

@@ -1 +1 @@
-
+"""Operators: chunking, Merkle trees, caches, synchronisation, vector index, models."""

@@ -1 +1 @@
-
+"""Streams of file events: dirty files, Merkle roots, periodic syncs."""
