@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ WINDOW, GRAM = 13, 5
 #: A block ends at so many documents or characters; a longer document is a block of its own.
 BLOCK_DOCS, BLOCK_CHARS = 1024, 2_000_000
 #: Entries that one bucket holds, about.
-BUCKET_ENTRIES = 1_500_000
+BUCKET_ENTRIES = 750_000
 
 _LAST = 2**63 - 1  # stands for a null doc_id: after all others
 
@@ -87,11 +88,16 @@ class Block:
     def __init__(self, ids: list[int], texts: list[str], hashes: WordHashes):
         self.ids = np.array(ids, np.int64)
         self.words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        found = [hashes.of(w) for w in self.words]
-        self.anchor = np.concatenate([np.zeros(0, np.uint64), *map(anchors, found)])
-        self.window = np.concatenate([np.zeros(0, np.uint64), *(rolling(h, WINDOW) for h in found)])
-        self.counts = np.array([max(0, len(w) - WINDOW + 1) for w in self.words], np.int64)
+        sizes = np.fromiter(map(len, self.words), np.int64, len(texts))
+        n = int(sizes.sum())
+        # One array for the whole block; windows that reach over the end of a document are left out.
+        found = np.fromiter(map(hashes.__getitem__, chain.from_iterable(self.words)), np.uint64, n)
+        self.counts = np.maximum(0, sizes - WINDOW + 1)
         self.doc = np.repeat(np.arange(len(ids)), self.counts)
+        first = np.cumsum(sizes) - sizes
+        at = np.arange(len(self.doc)) - np.repeat(np.cumsum(self.counts) - self.counts - first, self.counts)
+        self.anchor = anchors(found)[at] if len(at) else np.zeros(0, np.uint64)
+        self.window = rolling(found, WINDOW)[at] if len(at) else np.zeros(0, np.uint64)
 
     def keys(self, buckets: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """(bucket, sorted distinct anchors, whether several documents have it)."""
