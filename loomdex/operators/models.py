@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,19 @@ def hashing_embedder(dimensions: int) -> Embedder:
     return embed
 
 
+def with_timeout(provider: Callable, seconds: float) -> Callable:
+    """The provider, whose calls raise TimeoutError if they take longer: a failure like others."""
+
+    def call(*args):
+        pool = ThreadPoolExecutor(1)
+        try:
+            return pool.submit(provider, *args).result(timeout=seconds)
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
+
+    return call
+
+
 def summarize(chunks: DataFrame, provider: Summarizer = template_summarizer, config: EngineConfig = EngineConfig()) -> DataFrame:
     """``chunks(hash, language_id, code, ...)`` with ``summary``; distinct code is summarized once.
 

@@ -11,9 +11,9 @@ from pyspark.sql.window import Window
 from loomdex.config import ChunkConfig, EngineConfig
 from loomdex.functions import hashing, paths, requests, text
 from loomdex.functions.vectors import is_zero
-from loomdex.operators import cache, merkle, models, sync, vector_index
+from loomdex.operators import cache, hash_only, merkle, models, sync, vector_index
 from loomdex.operators.chunking import ast_chunks as syntax
-from loomdex.operators.chunking import gaps, lines
+from loomdex.operators.chunking import context, gaps, lines
 from loomdex.operators.ranking import with_positions
 from loomdex.plans import adapters as on
 from loomdex.runtime import materialize
@@ -208,6 +208,15 @@ def debug_string(spark, d):
     return on.chunks(spark, d).select("relative_path", "line_start", shown.alias("shown"))
 
 
+@query(f"""WITH {FILES}, {SMALL}, n AS (SELECT c.*, lag(line_end) OVER w AS b, lead(line_start) OVER w AS a, string_split(f.content, chr(10)) AS l
+  FROM chunks c JOIN files f USING (project_id, relative_path) WINDOW w AS (PARTITION BY relative_path ORDER BY line_start, line_end))
+SELECT relative_path, line_start, sha256(list_aggregate(list_filter([array_to_string(l[greatest(b - 5, 0) + 1:b], chr(10)), code, array_to_string(l[a:a + 4], chr(10))], lambda x: x <> ''),
+  'string_agg', chr(10) || chr(10) || '// ---' || chr(10) || chr(10))) AS overlap_hash FROM n""")
+def neighbour_context(spark, d):
+    found = context.with_neighbours(on.chunks(spark, d), on.files(spark, d))
+    return found.select("relative_path", "line_start", F.sha2("overlap_text", 256).alias("overlap_hash"))
+
+
 @query(f"WITH {FILES}, {SMALL} SELECT relative_path, list(hash ORDER BY line_start) AS payload, count(*) AS n FROM chunks GROUP BY relative_path")
 def file_payload(spark, d):
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_start", "hash"))), lambda s: s["hash"])
@@ -359,6 +368,18 @@ def hash_categorize(spark, d):
     return sync.categorize(on.chunks(spark, d), on.cached_hashes(spark, d))
 
 
+@query(f"""WITH {_SYNC}, live AS (SELECT hash FROM cached WHERE expires_at > TIMESTAMP '{AS_OF}')
+SELECT project_id, count(*) FILTER (hash NOT IN (SELECT hash FROM live)) AS stored, count(*) FILTER (hash IN (SELECT hash FROM live)) AS skipped FROM chunks GROUP BY project_id""")
+def hash_only_init(spark, d):
+    return hash_only.init(on.chunks(spark, d), on.cached_hashes(spark, d), cache.literal_time(AS_OF))[1]
+
+
+@query(f"""WITH {_SYNC}, live AS (SELECT hash FROM cached WHERE expires_at > TIMESTAMP '{AS_OF}')
+SELECT project_id, hash, CASE WHEN hash IN (SELECT hash FROM live) THEN 'cached' ELSE 'needed' END AS state FROM chunks""")
+def hash_only_phase1(spark, d):
+    return hash_only.phase1(on.chunks(spark, d), on.cached_hashes(spark, d), cache.literal_time(AS_OF))[1]
+
+
 @query(f"WITH {FILES}, {CACHED} SELECT hash, expires_at FROM cached WHERE expires_at > TIMESTAMP '{AS_OF}'")
 def cache_ttl(spark, d):
     found = cache.alive(on.cached_hashes(spark, d), cache.literal_time(AS_OF))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomdex.config import ChunkConfig, EngineConfig
 from loomdex.functions import hashing, requests
-from loomdex.operators import cache, merkle, models, sync, vector_index
+from loomdex.operators import cache, hash_only, merkle, models, sync, vector_index
 from loomdex.operators.ranking import with_positions
 from loomdex.sources import file_tree
 from loomdex.streaming.watch import MerkleWatch, first_creations
@@ -84,6 +84,27 @@ def test_providers():
     assert models.hashing_embedder(16)(["", "a b"])[0] == [0.0] * 16
 
 
+    import time
+
+    slow = models.with_timeout(lambda t: time.sleep(2) or embedder(t), 0.05)
+    assert models.embed_query("x", slow, 8) == [0.0] * 8
+    assert models.with_timeout(embedder, 5)(["x"]) == embedder(["x"])
+
+
+def test_hash_only_mode(spark):
+    def rows(*hashes):
+        return spark.createDataFrame([("p", h) for h in hashes], "project_id string, hash string")
+
+    now = cache.literal_time(NOW)
+    known, told = hash_only.init(rows("h1"), spark.createDataFrame([], "hash string, expires_at timestamp"), now)
+    assert [(r.stored, r.skipped) for r in told.collect()] == [(1, 0)]
+    known, told = hash_only.phase1(rows("h1", "h2"), known, now)
+    assert sorted((r.hash, r.state) for r in told.collect()) == [("h1", "cached"), ("h2", "needed")]
+    known = hash_only.phase2(rows("h2"), known, now)
+    assert sorted(r.hash for r in known.collect()) == ["h1", "h2"]
+    assert [(r.stored, r.skipped) for r in hash_only.init(rows("h1", "h2", "h2"), known, now)[1].collect()] == [(0, 3)]
+
+
 def test_expiry_and_put(spark):
     rows = [("a", "2024-05-01 00:00:00"), ("b", "2024-05-01 00:00:01")]
     known = spark.createDataFrame(rows, "hash string, e string").select("hash", F.to_timestamp("e").alias("expires_at"))
