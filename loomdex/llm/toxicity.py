@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -50,7 +51,7 @@ def words_of(text: str | None) -> set[str]:
     return {m[0] for m in _WORD.finditer((text or "").lower())}
 
 
-def train(bags: list[list[str]], y: np.ndarray, seed: int = 1) -> tuple[dict[str, float], float]:
+def train(bags: Iterable[list[str]], y: np.ndarray, seed: int = 1) -> tuple[dict[str, float], float]:
     """(number of each subword that is kept, bias) of a classifier of word bags.
 
     Trained by gradient descent; classes weigh alike. With rows of one class only, all scores
@@ -64,23 +65,26 @@ def train(bags: list[list[str]], y: np.ndarray, seed: int = 1) -> tuple[dict[str
     texts = np.bincount(np.concatenate(docs).astype(np.int64), minlength=len(number))
     vocabulary = list(number)
     del number
-    met, chunks = np.zeros(BUCKETS), []
+    met, chunks = np.zeros(BUCKETS, np.int32), []
     for at in range(0, len(vocabulary), 20_000):
-        parts = [[bucket(p) for p in subwords(w)] for w in vocabulary[at : at + 20_000]]
-        sizes = np.array(list(map(len, parts)), np.int64)
-        flat = np.fromiter((i for p in parts for i in p), np.int32, int(sizes.sum()))
-        met += np.bincount(flat, np.repeat(texts[at : at + 20_000], sizes), BUCKETS)
+        parts = [array("i", map(bucket, subwords(w))) for w in vocabulary[at : at + 20_000]]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        flat = np.frombuffer(b"".join(parts), np.int32)
+        met += np.bincount(flat, np.repeat(texts[at : at + 20_000], sizes), BUCKETS).astype(np.int32)
         chunks.append((flat, sizes))
     kept = np.flatnonzero(met >= MIN_TEXTS)
     index = np.full(BUCKETS, -1, np.int32)
     index[kept] = np.arange(len(kept), dtype=np.int32)
-    del met
+    del met, parts
     size = np.concatenate([s for _, s in chunks])  # of all subwords; those kept are in flat
-    live = [index[f] for f, _ in chunks]
-    held = np.concatenate([np.add.reduceat((i >= 0).astype(np.int64), np.cumsum(s) - s) for i, (_, s) in zip(live, chunks, strict=True)])
-    flat = np.concatenate([i[i >= 0] for i in live])
+    held, live = [], []
+    while chunks:
+        i, s = index[chunks[0][0]], chunks.pop(0)[1]
+        held.append(np.add.reduceat((i >= 0).astype(np.int64), np.cumsum(s) - s))
+        live.append(i[i >= 0])
+    held, flat = np.concatenate(held), np.concatenate(live)
     start = np.cumsum(held) - held
-    del chunks, live
+    del live
 
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.02, (len(kept), DIMENSIONS))
@@ -113,10 +117,9 @@ def train(bags: list[list[str]], y: np.ndarray, seed: int = 1) -> tuple[dict[str
             bias -= rate * 0.1 * delta.sum(axis=0)
     value = (SCALE * (emb @ (soft[:, 1] - soft[:, 0]))).tolist()
     numbers: dict[str, float] = {}
-    place = index.tolist()
     for w in vocabulary:
         for p in subwords(w):
-            if p not in numbers and (i := place[bucket(p)]) >= 0:
+            if p not in numbers and (i := index[bucket(p)]) >= 0:
                 numbers[p] = value[i]
     return numbers, float(bias[1] - bias[0])
 
@@ -151,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
 
     rows = training_rows(docs, labels, label, max_rows)
     found = rows.mapInPandas(bags, "d long, y int, words string").toPandas().sort_values(["d", "words"])
-    return train([w.split() for w in found["words"]], found["y"].to_numpy())
+    return train((w.split() for w in found["words"]), found["y"].to_numpy())
 
 
 def scored(docs: DataFrame, model: tuple[dict[str, float], float], name: str = "score") -> DataFrame:
