@@ -26,7 +26,7 @@ from loomdex.runtime import materialize
 #: Weights of the sources by code point, repeating; most times that a source is taken.
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Documents of a source that one task balances at once.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 4_000
 #: Documents of a source that wait for the landing, besides those that flight leaves undecided.
 HELD = 12
 
