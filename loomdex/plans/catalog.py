@@ -424,7 +424,8 @@ def sync_summary(spark, d):
     return hits.agg(F.count("*").alias("received"), F.count_if("hit").alias("cached"), F.count_if(~F.col("hit")).alias("sent"), F.count_distinct("project_id").alias("projects"), message.alias("message"))
 
 
-@query()
+@query(f"""WITH {FILES}, {SMALL} SELECT 'user-' || project_id AS user_id, project_id, count(*) AS received, count(*) AS processed, 0::BIGINT AS hits,
+  count(DISTINCT hash) AS stored, 'indexed' AS status FROM chunks GROUP BY project_id""")
 def full_sync(spark, d):
     files = on.files(spark, d).withColumn("user_id", F.concat(F.lit("user-"), F.col("project_id")))
     empty = spark.createDataFrame([], "hash string, summary string, embedding array<float>, expires_at timestamp")
@@ -519,8 +520,11 @@ def leaf_fold(spark, d):
     return merkle.fold_events(on.file_events(spark, d).where("event_type <> 'sync'")).select("project_id", "path", "event_type", "event_id")
 
 
-@query(f"""WITH {_EVENTS}, last AS (SELECT project_id, max(ts) AS t FROM ev WHERE event_type = 'sync' GROUP BY project_id)
-SELECT DISTINCT project_id, path FROM ev LEFT JOIN last USING (project_id) WHERE event_type <> 'sync' AND (t IS NULL OR ts > t)""")
+_DIRTY = f"""WITH {_EVENTS}, last AS (SELECT project_id, max(ts) AS t FROM ev WHERE event_type = 'sync' GROUP BY project_id)
+SELECT DISTINCT project_id, path FROM ev LEFT JOIN last USING (project_id) WHERE event_type <> 'sync' AND (t IS NULL OR ts > t)"""
+
+
+@query(_DIRTY)
 def dirty_files(spark, d):
     from loomdex.streaming.dirty import dirty_since_sync
 
@@ -544,7 +548,7 @@ def sync_windows(spark, d):
     return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query()
+@query(_DIRTY)
 def stream_dirty(spark, d):
     from loomdex.streaming.dirty import drain_dirty
 
@@ -644,7 +648,8 @@ def request_validation(spark, d):
     return table(spark, d, "documents").select("doc_id", error.alias("error"))
 
 
-@query()
+@query(f"""WITH {FILES}, {SMALL} SELECT relative_path, line_start, hash, 'text code: ' || left(trim(list_filter(string_split(code, chr(10)), lambda x: regexp_matches(x, '[\\pL\\pN_]'))[1], {WS}), 120) AS summary,
+  64 AS dimensions, false AS failed FROM chunks""")
 def summaries_and_embeddings(spark, d):
     chunks = on.chunks(spark, d).withColumnRenamed("text", "code").withColumn("language_id", F.lit("text"))
     made = models.embed(models.summarize(chunks, config=EngineConfig()), "summary", models.hashing_embedder(64), EngineConfig(dimensions=64))
