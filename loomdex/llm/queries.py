@@ -79,6 +79,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM d)),
+first AS (SELECT k, min(doc_id) AS m FROM g GROUP BY k),
+gone AS (
+  SELECT doc_id, list(DISTINCT i + j) AS gone FROM (SELECT doc_id, i, unnest(range(0, 13)) AS j FROM g JOIN first USING (k) WHERE m < doc_id)
+  GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""
+
 OP10_SQL = r"""
 SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = min(doc_id) OVER same AS kept, sha256(t) AS text_sha256
@@ -91,4 +104,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_license_scan, op4_token_count, op5_source_mixing, op6_nearest_neighbours, op7_toxicity, op8_quality, op9_sentencepiece, op10_exact_dedup)
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_exact_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op10_exact_dedup": OP10_SQL}
