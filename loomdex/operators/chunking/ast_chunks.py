@@ -252,7 +252,7 @@ def chunk_files(files: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFr
 
 def sample_sources(files: DataFrame) -> DataFrame:
     """Files of code made of the words of files of prose: Python and TypeScript by turns, some that don't parse."""
-    words = F.transform(F.slice(F.split(F.translate("content", SPACES, " "), " "), 1, 40), lambda w: F.regexp_replace(w, r"[^A-Za-z]", ""))
+    words = F.transform(F.split(F.translate("content", SPACES, " " * len(SPACES)), " "), lambda w: F.regexp_replace(w, r"[^A-Za-z]", ""))
     name = F.concat(F.lit("f"), F.col("doc_id").cast("string"))
     prose = F.array_join(words, " ")
     python = F.concat(

@@ -576,13 +576,13 @@ def summary_prompt(spark, d):
     return batches.select("language_id", "batch", F.sha2(text.chunk_prompt(F.col("codes")), 256).alias("prompt_hash"))
 
 
-_RESPONSE = """r AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN '[1] x' ELSE '<think>' || chr(10) || '[1] wrong</THINK>' || chr(10) || '  [2] second ' || left(regexp_replace(text, '\\s+', ' ', 'g'), 30) || chr(10)
+_RESPONSE = """r AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN '[1] x' ELSE '<think>' || chr(10) || '[1] wrong</THINK>' || chr(10) || '  [2] second ' || regexp_replace(text, '\\s+', ' ', 'g') || chr(10)
   || '<b>[3] tag' || chr(10) || '[1]   first ' || turn || chr(10) || '[2] again' || chr(10) END AS response FROM conversations)"""
 
 
 def _responses(spark, d):
     body = F.concat(
-        F.lit("<think>\n[1] wrong</THINK>\n  [2] second "), F.substring(F.regexp_replace("text", r"\s+", " "), 1, 30),
+        F.lit("<think>\n[1] wrong</THINK>\n  [2] second "), F.regexp_replace("text", r"\s+", " "),
         F.lit("\n<b>[3] tag\n[1]   first "), F.col("turn").cast("string"), F.lit("\n[2] again\n"),
     )
     response = F.when(F.col("turn") % 4 == 3, "[1] x").otherwise(body)

@@ -14,6 +14,7 @@ BROADCAST_LIMIT_BYTES = 16 << 20
 
 
 _shipped: set[str] = set()
+_written: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -53,6 +54,7 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loomdex_path = path  # so that discard() finds it
+    _written.append(path)
     return out
 
 
@@ -65,6 +67,13 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target.getParent(), True)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables that this process wrote: for when no result that reads one is needed any more."""
+    while _written:
+        target = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target.getParent(), True)
+
+
 def bytes_of(df: DataFrame, *columns: str) -> int:
     """Total bytes of string or binary ``columns``: a check before a broadcast."""
     from pyspark.sql import functions as F
