@@ -9,7 +9,6 @@ words of each candidate span are then compared with the template itself.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomdex.llm.rows import text_key
-from loomdex.llm.words import WordHashes, rolling
+from loomdex.llm.words import hashed, rolling
 from loomdex.runtime import BROADCAST_LIMIT_BYTES, materialize
 
 #: Words of a run; diagonals that merge; share of a template that a verified span has.
@@ -83,6 +82,12 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
+def _grams(text: str | None) -> np.ndarray:
+    """The hash of each run of K words, as signed integers."""
+    words = words_of(text)
+    return rolling(hashed(words, len(words)), K).view(np.int64)
+
+
 def base_places(words: list[bytes]) -> list[tuple[int, str]]:
     """(first word, label) of each place where a base phrase stands."""
     line, found = b" " + b" ".join(words) + b" ", []
@@ -110,11 +115,10 @@ def _base_columns(texts: pd.Series) -> pd.DataFrame:
 
 def template_grams(spark: SparkSession) -> DataFrame:
     """``(g, template, t)``: hash and position of each run of K words of each template."""
-    hashes = WordHashes()
     rows = [
         (int(h), n, t)
         for n, (_, text) in enumerate(TEMPLATES)
-        for t, h in enumerate(rolling(hashes.of(words_of(text)), K).view(np.int64).tolist())
+        for t, h in enumerate(_grams(text).tolist())
     ]
     return spark.createDataFrame(rows, "g long, template int, t int")
 
@@ -124,10 +128,8 @@ def candidate_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
 
     @F.pandas_udf("array<long>")
-    def grams(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        hashes = WordHashes()
-        for texts in batches:
-            yield pd.Series([rolling(hashes.of(words_of(t)), K).view(np.int64) for t in texts])
+    def grams(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(map(_grams, texts)))
 
     rolled = docs.select(docs["doc_id"].alias("doc_id"), text_key().alias("h"), F.posexplode(grams(docs["text"])).alias("i", "g"))
     # The templates are the fixed ones above: a few hundred rows on any input.

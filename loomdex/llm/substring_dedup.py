@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.words import WordHashes, rolling
+from loomdex.llm.words import hashed, rolling
 from loomdex.runtime import BROADCAST_LIMIT_BYTES, bytes_of, materialize
 
 WINDOW, GRAM = 13, 5
@@ -85,13 +85,13 @@ def anchors(hashes: np.ndarray) -> np.ndarray:
 class Block:
     """The windows of a block: their anchors, hashes and documents, and the words of each document."""
 
-    def __init__(self, ids: list[int], texts: list[str], hashes: WordHashes):
+    def __init__(self, ids: list[int], texts: list[str]):
         self.ids = np.array(ids, np.int64)
         self.words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
         sizes = np.fromiter(map(len, self.words), np.int64, len(texts))
         n = int(sizes.sum())
         # One array for the whole block; windows that reach over the end of a document are left out.
-        found = np.fromiter(map(hashes.__getitem__, chain.from_iterable(self.words)), np.uint64, n)
+        found = hashed(chain.from_iterable(self.words), n)
         self.counts = np.maximum(0, sizes - WINDOW + 1)
         self.doc = np.repeat(np.arange(len(ids)), self.counts)
         first = np.cumsum(sizes) - sizes
@@ -228,10 +228,9 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     buckets = max(8, math.ceil(chars / 24 / BUCKET_ENTRIES))
 
     def send_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for rows in batches:
             for block, ids, texts in zip(rows["block"], rows["ids"], rows["texts"], strict=True):
-                sent = Block(ids, texts, hashes).keys(buckets)
+                sent = Block(ids, texts).keys(buckets)
                 yield pd.DataFrame(
                     [(block, b, a.tobytes(), _bits(s)) for b, a, s in sent], columns=["block", "bucket", "keys", "several"]
                 )
@@ -240,11 +239,10 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     shared = materialize(keys.groupBy("bucket").applyInPandas(_shared, _MASK), "shared")
 
     def send_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for rows in batches:
             for block, ids, texts, masks in zip(rows["block"], rows["ids"], rows["texts"], rows["shared"], strict=True):
                 out = []
-                for b, h, least in Block(ids, texts, hashes).entries(buckets, _masks(masks)):
+                for b, h, least in Block(ids, texts).entries(buckets, _masks(masks)):
                     known, which = np.unique(least, return_inverse=True)
                     out.append((block, b, h.tobytes(), known.tobytes(), which.astype(np.uint16).tobytes()))
                 yield pd.DataFrame(out, columns=["block", "bucket", "hashes", "known", "which"])
@@ -254,12 +252,11 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     earlier = materialize(windows.groupBy("bucket").applyInPandas(_earlier, _MASK), "earlier")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for rows in batches:
             for ids, none, texts, first, second in zip(
                 rows["ids"], rows["none"], rows["texts"], rows["shared"], rows["earlier"], strict=True
             ):
-                block = Block(ids, texts, hashes)
+                block = Block(ids, texts)
                 hits = np.split(block.hits(buckets, _masks(first), _masks(second)), np.cumsum(block.counts)[:-1])
                 out = []
                 for words, hit in zip(block.words, hits, strict=True):
