@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomdex.llm import exact_dedup, simhash, substring_dedup
+from loomdex.llm import exact_dedup, simhash, simhash_wide, substring_dedup
 from loomdex.llm.components import connected_components
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -91,6 +91,61 @@ def test_near_duplicates_leave_one(docs, rows):
     assert {r.doc_id for r in kept.where("doc_id between 100 and 112").collect()} == {100}
 
 
+def _edited(rng, words, n):
+    out = list(words)
+    for i in rng.choice(len(out), n, replace=False):
+        out[i] = f"edit{rng.integers(1 << 40)}"
+    return out
+
+
+def _jaccard(a, b):
+    a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_wide_fingerprints_tell_similarity(spark, monkeypatch):
+    """Pairs of 0.85 and more meet, pairs under 0.65 don't; also where parts are dealt into blocks."""
+    rng = np.random.default_rng(9)
+    texts = []
+    for i in range(60):
+        base = [f"t{i}w{j}" for j in rng.integers(0, 400, 300)]
+        texts += [(base, i, 1.0), (_edited(rng, base, 3), i, 0.9), (_edited(rng, base, 30), i, 0.4)]
+    data = [(n, " ".join(t)) for n, (t, _, _) in enumerate(texts)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    for part, block in ((25_000, 20_000), (20, 7)):
+        monkeypatch.setattr(simhash_wide, "PART", part)
+        monkeypatch.setattr(simhash_wide, "BLOCK", block)
+        found = {r.doc_id: r.component_id for r in simhash_wide.near_duplicates(df).collect()}
+        for i in range(0, 180, 3):
+            assert _jaccard(texts[i][0], texts[i + 1][0]) > 0.85 and _jaccard(texts[i][0], texts[i + 2][0]) < 0.65
+            assert found[i] == found[i + 1] == i and found[i + 2] == i + 2
+
+
+def test_wide_links_of_a_dense_group_are_few(spark):
+    rng = np.random.default_rng(10)
+    base = [f"w{j}" for j in range(300)]
+    copies = [" ".join(_edited(rng, base, 2)) for _ in range(400)]
+    data = [(n, bytearray(simhash_wide.signature(simhash_wide.shingle_set(t, 5)))) for n, t in enumerate(copies)]
+    links = simhash_wide.similar_signatures(spark.createDataFrame(data, "v long, sig binary"), 0.8)
+    roots = {r.node: r.root for r in connected_components(links).collect()}
+    assert len(set(roots.values())) == 1 and len(roots) >= 398  # roots have no row of their own; two edits may leave a copy apart
+    assert links.count() <= simhash_wide.SEGMENTS * 400
+
+
+def test_wide_on_awkward_rows(docs, rows, empty):
+    found = simhash_wide.near_duplicates(docs).collect()
+    assert len(found) == len(rows)
+    of = {}
+    for r in found:
+        of.setdefault(r.doc_id, set()).add(r.component_id)
+    assert of[100] == of[105] == of[110] == of[111] == of[112] == {100}
+    assert of[130] == of[131] == of[132] == {130} and of[None] == {100, 130} and of[133] == {133}
+    kept = simhash_wide.drop_near_duplicates(docs)
+    # The two texts of 141 are components of one least doc_id.
+    assert kept.columns == docs.columns and kept.count() == len({c for s in of.values() for c in s}) + 1
+    assert simhash_wide.near_duplicates(empty).count() == simhash_wide.drop_near_duplicates(empty).count() == 0
+
+
 def test_substrings(docs, rows, empty):
     ids = [LAST if r[0] is None else r[0] for r in rows]
     least = {}
