@@ -19,7 +19,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int)
     """
     y = labels.where(labels[label].isNotNull() & ~held_out(labels["doc_id"]))
     y = y.groupBy(F.col("doc_id").alias("d")).agg(F.max(label).cast("int").alias("y"))
-    # Labels are sampled before the texts are joined: only the sample's texts move.
+    # Labels are sampled before the texts are joined; a sample of max_rows pairs of numbers is small at any size of the input.
     y = y.where(y["d"].isNotNull()).orderBy(F.xxhash64("d"), "d").limit(max_rows)
-    rows = docs.select(docs["doc_id"].alias("d"), F.coalesce(docs["text"], F.lit("")).alias("text")).join(y, "d")
+    rows = docs.select(docs["doc_id"].alias("d"), F.coalesce(docs["text"], F.lit("")).alias("text")).join(F.broadcast(y), "d")
     return rows.select("d", "text", "y")
