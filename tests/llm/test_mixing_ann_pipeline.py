@@ -132,6 +132,13 @@ def test_awkward_vectors(spark):
     assert ann.search(df.limit(0), df.limit(0), 20).count() == 0
 
 
+def test_double_vectors_stay_exact(spark):
+    data = [(0, [0.1, 0.0]), (1, [0.3, 1.0]), (2, [0.2, 1.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = ann.search(df, df.where("vec_id = 0"), 2).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 0.1 * 0.3), (2, 0.1 * 0.2)]
+
+
 def test_hot_bucket_parts(spark, monkeypatch):
     monkeypatch.setattr(ann, "PART_VECTORS", 7)
     monkeypatch.setattr(ann, "PART_QUERIES", 2)
