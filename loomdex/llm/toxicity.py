@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.llm.labelled import held_out, training_rows
+from loomdex.llm.words import Remembered
 
 #: Fixed parameters of the model. A text counts as having SMOOTHING words more, of vector 0,
 #: so that a very short text isn't judged by chance.
@@ -29,8 +30,8 @@ BUCKETS, DIMENSIONS, NGRAMS, SMOOTHING = 1 << 22, 4, (3, 4, 5, 6), 10
 #: Parameters of training; MAX_ROWS bounds the labelled sample. A bucket that is met in
 #: fewer texts than MIN_TEXTS keeps the vector 0.
 MAX_ROWS, MIN_TEXTS, EPOCHS, MOST_EPOCHS, BATCH, RATE, SCALE = 6000, 6, 10, 40, 32, 0.5, 100.0
-#: Words whose number a worker remembers before it starts over.
-CACHE_WORDS = 400_000
+#: Words whose number a worker remembers in each of two generations, and how long they may be.
+CACHE_WORDS, CACHE_CHARS = 300_000, 64
 
 _WORD = re.compile(r"\w+")
 
@@ -124,19 +125,16 @@ def train(bags: Iterable[list[str]], y: np.ndarray, seed: int = 1) -> tuple[dict
     return numbers, float(bias[1] - bias[0])
 
 
-class WordScores(dict):
+class WordScores(Remembered):
     """Word to the mean of its subwords' numbers."""
 
     def __init__(self, numbers: dict[str, float]):
-        super().__init__()
         self.numbers = numbers
+        super().__init__(self._mean, CACHE_WORDS, CACHE_CHARS)
 
-    def __missing__(self, word: str) -> float:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
+    def _mean(self, word: str) -> float:
         get, parts = self.numbers.get, subwords(word)
-        value = self[word] = sum([get(p, 0.0) for p in parts]) / len(parts)
-        return value
+        return sum([get(p, 0.0) for p in parts]) / len(parts)
 
 
 def score_text(text: str | None, words: WordScores, bias: float) -> float:

@@ -22,9 +22,11 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 
+from loomdex.llm.words import Remembered
+
 SPACE = "▁"
-#: Texts between cuts whose segmentation a worker remembers before it starts over, and how long they may be.
-CACHE_WORDS, CACHE_CHARS = 300_000, 64
+#: Texts between cuts whose segmentation a worker remembers in each of two generations, and how long they may be.
+CACHE_WORDS, CACHE_CHARS = 400_000, 64
 
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
@@ -102,22 +104,6 @@ def read_vocabulary(model: bytes) -> Vocabulary:
     )
 
 
-class _Words(dict):
-    """What a function makes of short texts, remembered."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, word: str):
-        made = self.make(word)
-        if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = made
-        return made
-
-
 class Segmenter:
     """Viterbi over texts whose spaces are plain; positions are characters."""
 
@@ -136,8 +122,8 @@ class Segmenter:
         #: Texts between cuts; the whole text if a piece may reach over a space.
         self.between = re.compile(rf"[{stops}]| *[^ {stops}]+| +" if alone else r" *[^ ]+| +") if not inner else re.compile(r"(?s).+")
         self.alone, self.cuts = frozenset(alone), not inner
-        self.counts = _Words(self.count_word)
-        self.ids = _Words(self._segment)
+        self.counts = Remembered(self.count_word, CACHE_WORDS, CACHE_CHARS)
+        self.ids = Remembered(self._segment, CACHE_WORDS, CACHE_CHARS)
         value = {i: bytes([b]) for b, i in enumerate(vocabulary.bytes_ or [])}
         texts = [value.get(i, b"" if i in vocabulary.controls else t.encode()) for i, t in enumerate(vocabulary.texts)]
         if texts:

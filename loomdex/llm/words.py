@@ -6,12 +6,35 @@ these six characters, because bytes of longer UTF-8 sequences are never ASCII.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import xxhash
 
 
+class Remembered(dict):
+    """What a function makes of short texts, remembered.
+
+    There are two generations of at most ``most`` texts: when the younger is full it becomes the
+    older, and texts that are met again become young again. So frequent ones stay.
+    """
+
+    def __init__(self, make: Callable[[str], object], most: int, longest: int):
+        super().__init__()
+        self.make, self.most, self.longest, self.older = make, most, longest, {}
+
+    def __missing__(self, text: str):
+        value = self.older.get(text)
+        if value is None:
+            value = self.make(text)
+        if len(text) <= self.longest:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[text] = value
+        return value
+
+
 def hashed(words: Iterable[bytes], n: int) -> np.ndarray:
     """The 64-bit hash of each of ``n`` words. Computing one takes less time than finding it among those seen before."""
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)

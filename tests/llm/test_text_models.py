@@ -121,6 +121,16 @@ def test_count_and_codec(docs, rows, empty):
     assert token_count.count_tokens(empty).count() == sentencepiece_codec.encode(empty).count() == 0
 
 
+def test_frequent_texts_stay_remembered():
+    from loomdex.llm.words import Remembered
+
+    made = []
+    known = Remembered(lambda t: made.append(t) or len(t), most=3, longest=4)
+    for t in ("a", "b", "c", "a", "d", "a", "e", "f", "a", "longer", "longer"):
+        assert known[t] == len(t)
+    assert made.count("a") == 1 and made.count("longer") == 2 and len(known) <= 3
+
+
 def test_without_bytes_unknowns_merge():
     v = read_vocabulary(MODEL)
     v.bytes_ = None
