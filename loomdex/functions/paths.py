@@ -21,12 +21,12 @@ LANGUAGES = {
     ".c": "c",
 }
 
-# Extensions that a tree scan takes, that a watcher takes, folders that a scan
+# Extensions that a tree scan takes, that a watcher takes, folders that a scan (.loomdex holds state)
 # skips, patterns that a watcher ignores.
 SCAN_EXTENSIONS = (".js", ".ts", ".tsx", ".jsx")
 WATCH_EXTENSIONS = (".js", ".ts", ".tsx", ".jsx", ".py", ".go", ".rs", ".java")
-SKIPPED_FOLDERS = ("node_modules", ".git", "dist", ".puku")
-IGNORED = ("**/node_modules/**", "**/.git/**", "**/dist/**", "**/build/**", "**/.puku/**", "**/*.log")
+SKIPPED_FOLDERS = ("node_modules", ".git", "dist", ".loomdex")
+IGNORED = ("**/node_modules/**", "**/.git/**", "**/dist/**", "**/build/**", "**/.loomdex/**", "**/*.log")
 
 # Node kinds that become chunks, by language.
 SEMANTIC_NODES = {

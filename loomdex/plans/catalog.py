@@ -103,12 +103,12 @@ def extension_filter(spark, d):
     return _names(spark, d).where(paths.has_extension(F.col("path")))
 
 
-PLACES = ("node_modules/x.js", "src/node_modules/x.js", "src/a.ts", ".git/config", "dist/out.js", "build/out.js", "src/build.ts", "run.log", "src/deep/run.log", ".puku/state.json", "src/distance.ts")
+PLACES = ("node_modules/x.js", "src/node_modules/x.js", "src/a.ts", ".git/config", "dist/out.js", "build/out.js", "src/build.ts", "run.log", "src/deep/run.log", ".loomdex/state.json", "src/distance.ts")
 _PLACES_SQL = "[" + ", ".join(f"'{n}'" for n in PLACES) + "]"
 
 
 @query(f"""SELECT doc_id, path FROM (SELECT doc_id, {_PLACES_SQL}[(doc_id % {len(PLACES)}) + 1] AS path FROM documents)
-WHERE NOT (list_has_any(list_slice(string_split(path, '/'), 1, len(string_split(path, '/')) - 1), ['node_modules', '.git', 'dist', 'build', '.puku'])
+WHERE NOT (list_has_any(list_slice(string_split(path, '/'), 1, len(string_split(path, '/')) - 1), ['node_modules', '.git', 'dist', 'build', '.loomdex'])
   OR path LIKE '%.log')""")
 def ignore_filter(spark, d):
     place = F.get(F.array(*map(F.lit, PLACES)), (F.col("doc_id") % len(PLACES)).cast("int"))
@@ -116,7 +116,7 @@ def ignore_filter(spark, d):
 
 
 @query(f"""SELECT doc_id, path FROM (SELECT doc_id, {_PLACES_SQL}[(doc_id % {len(PLACES)}) + 1] AS path FROM documents)
-WHERE NOT list_has_any(string_split(path, '/'), ['node_modules', '.git', 'dist', '.puku']) AND regexp_matches(path, '\\.(js|ts|tsx|jsx)$')""")
+WHERE NOT list_has_any(string_split(path, '/'), ['node_modules', '.git', 'dist', '.loomdex']) AND regexp_matches(path, '\\.(js|ts|tsx|jsx)$')""")
 def scan_filter(spark, d):
     place = F.get(F.array(*map(F.lit, PLACES)), (F.col("doc_id") % len(PLACES)).cast("int"))
     found = table(spark, d, "documents").select("doc_id", place.alias("path"))
