@@ -21,8 +21,8 @@ LANGUAGES = {
     ".c": "c",
 }
 
-# Extensions that a tree scan takes, that a watcher takes, folders that a scan (.loomdex holds state)
-# skips, patterns that a watcher ignores.
+# Extensions that a tree scan and a watch of trees take, those that a plain watch takes, folders
+# that a scan skips, patterns that a watch ignores. The engine's own state is in .loomdex.
 SCAN_EXTENSIONS = (".js", ".ts", ".tsx", ".jsx")
 WATCH_EXTENSIONS = (".js", ".ts", ".tsx", ".jsx", ".py", ".go", ".rs", ".java")
 SKIPPED_FOLDERS = ("node_modules", ".git", "dist", ".loomdex")

@@ -96,5 +96,17 @@ def contextualized(path: Column, parent: Column, type_: Column, name: Column, pa
     return F.array_join(F.filter(known, lambda l: l.isNotNull()), "\n")
 
 
-def debug_string(type_: Column, name: Column, line_start: Column, line_end: Column) -> Column:
-    return F.concat(F.lit("["), type_, F.lit("] "), F.coalesce(name, F.lit("anonymous")), F.lit(" (lines "), line_start.cast("string"), F.lit("-"), line_end.cast("string"), F.lit(")"))
+def _named(type_: Column, name: Column) -> Column:
+    return F.concat(F.lit("["), type_, F.lit("] "), F.coalesce(name, F.lit("(anonymous)")))
+
+
+def text_chunk_string(type_: Column, name: Column, line_start: Column, line_end: Column, char_count: Column) -> Column:
+    """How a chunk with its text is shown."""
+    lines_ = F.format_string(" (lines %d-%d, %d chars)", line_start, line_end, char_count)
+    return F.concat(_named(type_, name), lines_)
+
+
+def hashed_chunk_string(type_: Column, name: Column, path: Column, line_start: Column, line_end: Column, hash_: Column) -> Column:
+    """How a chunk without its text is shown."""
+    place = F.format_string(" @ %s:%d-%d (hash: %s...)", path, line_start, line_end, F.substring(hash_, 1, 8))
+    return F.concat(_named(type_, name), place)

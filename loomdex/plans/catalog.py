@@ -202,10 +202,13 @@ def gap_fill(spark, d):
     return gaps.fill_gaps(intervals, files, ChunkConfig(min_chunk=40)).select("project_id", "relative_path", "hash", "line_start", "line_end", "char_start", "char_end")
 
 
-@query(f"WITH {FILES}, {SMALL} SELECT relative_path, line_start, '[block] anonymous (lines ' || line_start || '-' || line_end || ')' AS shown FROM chunks")
+@query(f"""WITH {FILES}, {SMALL} SELECT relative_path, line_start, '[block] (anonymous) (lines ' || line_start || '-' || line_end || ', ' || char_count || ' chars)' AS shown,
+  '[block] (anonymous) @ ' || relative_path || ':' || line_start || '-' || line_end || ' (hash: ' || left(hash, 8) || '...)' AS shown_hashed FROM chunks""")
 def debug_string(spark, d):
-    shown = text.debug_string(F.col("type"), F.col("name"), F.col("line_start"), F.col("line_end"))
-    return on.chunks(spark, d).select("relative_path", "line_start", shown.alias("shown"))
+    c = F.col
+    shown = text.text_chunk_string(c("type"), c("name"), c("line_start"), c("line_end"), c("char_count"))
+    hashed = text.hashed_chunk_string(c("type"), c("name"), c("relative_path"), c("line_start"), c("line_end"), c("hash"))
+    return on.chunks(spark, d).select("relative_path", "line_start", shown.alias("shown"), hashed.alias("shown_hashed"))
 
 
 @query(f"""WITH {FILES}, {SMALL}, n AS (SELECT c.*, lag(line_end) OVER w AS b, lead(line_start) OVER w AS a, string_split(f.content, chr(10)) AS l

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.functions.hashing import file_hash
-from loomdex.functions.paths import WATCH_EXTENSIONS, has_extension, is_ignored
+from loomdex.functions.paths import SCAN_EXTENSIONS, has_extension, is_ignored
 from loomdex.operators import merkle
 from loomdex.operators.upsert import latest_by_key
 from loomdex.runtime import materialize
@@ -22,7 +22,7 @@ class MerkleWatch:
     project without files has the root ''.
     """
 
-    def __init__(self, leaves: DataFrame, on_changed: Callable[[DataFrame], None] | None = None, extensions=WATCH_EXTENSIONS):
+    def __init__(self, leaves: DataFrame, on_changed: Callable[[DataFrame], None] | None = None, extensions=SCAN_EXTENSIONS):
         self.leaves = materialize(leaves.select("project_id", "relative_path", "hash"), "leaves")
         self.roots = materialize(merkle.roots(self.leaves).select("project_id", "root"), "roots")
         self.on_changed = on_changed
