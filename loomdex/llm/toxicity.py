@@ -31,7 +31,7 @@ BUCKETS, DIMENSIONS, NGRAMS, SMOOTHING = 1 << 22, 4, (3, 4, 5, 6), 10
 #: fewer texts than MIN_TEXTS keeps the vector 0.
 MAX_ROWS, MIN_TEXTS, EPOCHS, MOST_EPOCHS, BATCH, RATE, SCALE = 6000, 6, 10, 40, 32, 0.5, 100.0
 #: Words whose number a worker remembers in each of two generations, and how long they may be.
-CACHE_WORDS, CACHE_CHARS = 300_000, 64
+CACHE_WORDS, CACHE_CHARS = 200_000, 64
 
 _WORD = re.compile(r"\w+")
 

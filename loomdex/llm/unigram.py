@@ -26,7 +26,7 @@ from loomdex.llm.words import Remembered
 
 SPACE = "▁"
 #: Texts between cuts whose segmentation a worker remembers in each of two generations, and how long they may be.
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+CACHE_WORDS, CACHE_CHARS = 200_000, 64
 
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
