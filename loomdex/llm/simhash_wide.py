@@ -3,13 +3,18 @@
 64 bits tell nearly equal texts only: at a Jaccard similarity of 0.8 over word shingles,
 fingerprints differ in about 15% of their bits. Here a text has BITS bits over its set of
 shingles. Two sets of similarity s differ in a share arccos(2s / (1 + s)) / pi of them, which
-gives the greatest distance of a link.
+gives the expected distance. Signatures that differ in up to SIGMAS standard deviations more are candidates only: texts are
+linked if their sets of shingles, compared themselves, are of the similarity or more.
 
 The index is multi-index hashing again: SEGMENTS segments of 16 bits, whose highest bits name a
 part of the index and must agree, while the Hamming ball of radius 1 over the others is looked up;
 complete distances of all that is met are verified. Within a part, each link that connects
 nothing new is left out, so that a dense group gives as many links as it has members. A part
 with very many members is dealt into blocks, and each two blocks meet in a task of their own.
+
+Candidates' components are then verified, each text being read once: in a component all pairs of near signatures are compared
+that nothing connects yet. A large component is dealt into chunks, which share its root; what that doesn't connect
+to the component's main group meets all members, in tiles.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,15 +40,18 @@ PART, BLOCK = 25_000, 20_000
 PAIRS = 1 << 20
 #: Shingles whose bits are summed at once.
 SUMMED = 1 << 13
-#: A link may differ by so many bits more than expected at the similarity asked for: half a standard deviation.
-SLACK = 4
+#: A candidate may differ by so many standard deviations more than expected at the similarity asked for.
+SIGMAS = 3
+#: Members of a component, or of small components together, about, that are verified in one task.
+VERIFIED = 500
 
 _MIX = np.random.default_rng(384).integers(1, 2**63, BITS // 64, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 
 
 def farthest(similarity: float) -> int:
-    """The greatest distance of a link."""
-    return round(BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi) + SLACK
+    """The greatest distance of a candidate."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(BITS * share + SIGMAS * math.sqrt(BITS * share * (1 - share)))
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -121,7 +130,7 @@ def _links_of(distance: int, high: int):
                 if pair:
                     new &= side[i] != side[j]
                 i, j = i[new], j[new]
-                near = np.bitwise_count(sig[i, 0] ^ sig[j, 0]) <= distance  # one word first
+                near = np.bitwise_count(sig[i, :3] ^ sig[j, :3]).sum(axis=1) <= distance  # half of the words first
                 i, j = i[near], j[near]
                 near = np.bitwise_count(sig[i] ^ sig[j]).sum(axis=1) <= distance
                 out += forest.add(i[near], j[near])
@@ -133,7 +142,7 @@ def _links_of(distance: int, high: int):
 
 
 def similar_signatures(signatures: DataFrame, similarity: float) -> DataFrame:
-    """Links ``(u, v)`` of distinct ``signatures(v long, sig binary)`` that connect all pairs found near."""
+    """Links ``(u, v)`` of distinct ``signatures(v long, sig binary)`` that connect all candidates found."""
     high = min(12, max(0, math.ceil(math.log2(max(1, signatures.count()) / PART))))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,27 +159,107 @@ def similar_signatures(signatures: DataFrame, similarity: float) -> DataFrame:
     return met.groupBy("t", "r", "x", "y").applyInPandas(_links_of(farthest(similarity), high), "u long, v long")
 
 
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sets, as sorted arrays, is that or more."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both) >= similarity
+
+
+def _verified_of(similarity: float, shingle: int):
+    distance = farthest(similarity)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """Links of rows of one component to those that are met, where labels differ; each that connects nothing new is left out."""
+        out = []
+        for _, part in rows.groupby("comp", sort=False):
+            part = part.sort_values(["v", "rest"])  # the root first
+            v, rest, label = part["v"].to_numpy(), part["rest"].to_numpy(), part["label"].to_numpy().copy()
+            sig = np.frombuffer(b"".join(part["sig"]), np.uint64).reshape(len(part), -1)
+            sets = [shingle_set(t, shingle) for t in part["text"]]
+            tile = bool(rest.any())
+            met = np.flatnonzero(~rest)
+            for i in np.flatnonzero(rest) if tile else range(len(part)):
+                j = met if tile else np.arange(i + 1, len(part))
+                j = j[label[j] != label[i]]
+                for k in j[np.bitwise_count(sig[j] ^ sig[i]).sum(axis=1) <= distance].tolist():
+                    if label[k] != label[i] and alike(sets[i], sets[k], similarity):
+                        out.append((v[i], v[k]))
+                        label[label == label[k]] = label[i]
+        links = np.array(out, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"u": links[:, 0], "v": links[:, 1]})
+
+    return run
+
+
+def verified_links(members: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links ``(u, v)`` that connect all texts of the similarity or more within components of candidates.
+
+    ``members(v, comp, sig, h)`` are distinct sets of shingles, comp being the least v of a component; ``texts(h, text)`` may repeat.
+    """
+    sizes = members.groupBy("comp").agg(F.ceil(F.count("*") / VERIFIED).cast("int").alias("chunks"))
+    bins = max(1, math.ceil(members.count() / VERIFIED))
+    small = F.col("chunks") == 1
+    dealt = members.join(sizes, "comp").select(
+        "comp", "v", "sig", "h", "chunks",
+        F.when(small, -1 - F.pmod(F.xxhash64("comp"), F.lit(bins))).otherwise(F.col("comp")).alias("k"),
+        F.when(small, 0).otherwise(F.pmod(F.xxhash64("v"), F.col("chunks"))).cast("int").alias("c"),
+    )
+    # Texts of one hash are equal: one of them is read.
+    first = dealt.join(texts, "h").groupBy("v").agg(F.first("text").alias("text"), *[F.first(c).alias(c) for c in ("comp", "sig", "chunks", "k", "c")])
+    dealt = materialize(first, "members")
+    run, link = _verified_of(similarity, shingle), "u long, v long"
+    shared = F.when(F.col("v") == F.col("comp"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("c"))
+    star = dealt.select("comp", "k", F.explode(shared).alias("c"), "v", "sig", "text", F.col("v").alias("label"), F.lit(False).alias("rest"))
+    links = materialize(star.groupBy("k", "c").applyInPandas(run, link), "verified")
+    large = dealt.where("chunks > 1")
+    if large.isEmpty():
+        return links
+    roots = connected_components(links).withColumnRenamed("node", "v")
+    labels = large.select("comp", "v").join(roots, "v", "left").select("comp", "v", F.coalesce("root", "v").alias("label"))
+    labels = materialize(labels, "labels")
+    main = labels.groupBy("comp", "label").count().groupBy("comp").agg(F.max(F.struct("count", "label")).alias("m"), F.sum("count").alias("n"))
+    main = main.where("n > m.count").select("comp", F.col("m.label").alias("main"), F.ceil((F.col("n") - F.col("m.count")) / VERIFIED).cast("int").alias("blocks"))
+    main = materialize(main, "main")
+    if main.isEmpty():
+        return links
+    whole = large.join(labels.join(main, "comp").drop("comp"), "v")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kept = ("comp", "v", "sig", "text", "label")
+    met = whole.select(*kept, every("blocks").alias("x"), F.col("c").alias("y"), F.lit(False).alias("rest"))
+    asked = whole.where("label <> main").select(*kept, F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("x"), every("chunks").alias("y"), F.lit(True).alias("rest"))
+    return links.union(met.union(asked).groupBy("comp", "x", "y").applyInPandas(run, link))
+
+
 def _grouped(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(doc_id, h, grp, component_id) of each row."""
 
-    @F.pandas_udf("binary")
-    def sign(texts: pd.Series) -> pd.Series:
-        return pd.Series([signature(shingle_set(t, shingle)) for t in texts])
-
-    signed = materialize(docs.select(docs["doc_id"].alias("doc_id"), text_key().alias("h"), sign(docs["text"]).alias("sig")), "signed")
-    distinct = signed.groupBy("sig").agg(F.min("doc_id").alias("least")).withColumn("v", F.monotonically_increasing_id())
-    distinct = materialize(distinct, "signatures")
-    roots = connected_components(similar_signatures(distinct.select("v", "sig"), similarity))
-    rooted = distinct.join(roots.withColumnRenamed("node", "v"), "v", "left").select("sig", "least", F.coalesce("root", "v").alias("grp"))
+    @F.pandas_udf("sig binary, digest binary")
+    def sign(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t, shingle) for t in texts]
+        return pd.DataFrame({"sig": [signature(x) for x in sets], "digest": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]})
+
+    signed = docs.select(docs["doc_id"].alias("doc_id"), text_key().alias("h"), sign(docs["text"]).alias("s"))
+    signed = materialize(signed.select("doc_id", "h", "s.sig", "s.digest"), "signed")
+    distinct = signed.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("sig").alias("sig"), F.min("h").alias("h"))
+    distinct = materialize(distinct.withColumn("v", F.monotonically_increasing_id()), "signatures")
+    near = connected_components(similar_signatures(distinct.select("v", "sig"), similarity))
+    members = near.select(F.col("node").alias("v"), F.col("root").alias("comp"))
+    members = members.union(near.select(F.col("root").alias("v"), F.col("root").alias("comp")).distinct())
+    members = materialize(members.join(distinct.select("v", "sig", "h"), "v"), "candidates")
+    texts = docs.select(text_key().alias("h"), docs["text"].alias("text"))
+    roots = connected_components(verified_links(members, texts, shingle, similarity))
+    rooted = distinct.join(roots.withColumnRenamed("node", "v"), "v", "left").select("digest", "least", F.coalesce("root", "v").alias("grp"))
     # Written, so that the join's sides are shuffled for it alone and a large component can be split.
     groups = materialize(rooted.groupBy("grp").agg(F.min("least").alias("component_id")), "groups")
-    return signed.join(rooted.join(groups, "grp").select("sig", "grp", "component_id"), "sig").drop("sig")
+    return signed.drop("sig").join(rooted.join(groups, "grp").select("digest", "grp", "component_id"), "digest").drop("digest")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(doc_id, component_id)``, a row for each row of ``docs(doc_id, text)``.
 
-    component_id is the least doc_id of the documents reachable over links of about that
+    component_id is the least doc_id of the documents reachable over links of that
     similarity or more, itself included. Null text counts as empty; texts without words are alike.
     Null doc_ids take part; a component of nothing else has component_id null. Repeated rows
     count each. An empty table gives none.

@@ -121,6 +121,37 @@ def test_wide_fingerprints_tell_similarity(spark, monkeypatch):
             assert found[i] == found[i + 1] == i and found[i + 2] == i + 2
 
 
+@pytest.mark.parametrize("verified", [500, 20])
+def test_wide_links_are_exact(spark, monkeypatch, verified):
+    """Components equal those of brute force at similarities around the limit, in small components and in dealt ones."""
+    monkeypatch.setattr(simhash_wide, "VERIFIED", verified)
+    rng = np.random.default_rng(11)
+    texts = []
+    for i in range(200):
+        base = [f"p{i}w{j}" for j in range(304)]
+        texts += [base, _edited(rng, base, int(rng.integers(5, 10)))]
+    base = [f"q{j}" for j in range(304)]
+    for _ in range(25):  # one component of candidates, of several components
+        centre = _edited(rng, base, int(rng.integers(0, 9)))
+        texts += [_edited(rng, centre, int(rng.integers(0, 4))) for _ in range(4)]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    label = list(range(len(texts)))
+    near = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            s = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            near += 0.7 <= s < 0.8
+            if s >= 0.8 and label[i] != label[j]:
+                label = [label[j] if x == label[i] else x for x in label]
+    least = {}
+    for n, x in enumerate(label):
+        least.setdefault(x, n)
+    assert near > 50 and len(least) < len(texts) - 100
+    df = spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash_wide.near_duplicates(df).collect()}
+    assert found == {n: least[x] for n, x in enumerate(label)}
+
+
 def test_wide_links_of_a_dense_group_are_few(spark):
     rng = np.random.default_rng(10)
     base = [f"w{j}" for j in range(300)]
