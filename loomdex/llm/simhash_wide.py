@@ -6,9 +6,10 @@ shingles. Two sets of similarity s differ in a share arccos(2s / (1 + s)) / pi o
 gives the expected distance. Signatures that differ in up to SIGMAS standard deviations more are candidates only: texts are
 linked if their sets of shingles, compared themselves, are of the similarity or more.
 
-The index is multi-index hashing again: SEGMENTS segments of 16 bits, whose highest bits name a
-part of the index and must agree, while the Hamming ball of radius 1 over the others is looked up;
-complete distances of all that is met are verified. Within a part, each link that connects
+The index is multi-index hashing again: SEGMENTS segments of 16 bits, half of them of the bits in another order. The highest EXACT
+bits of a segment must agree, while the Hamming ball of radius 1 over the others is looked up;
+complete distances of all that is met are verified. What is found of a pair depends on the two signatures alone, not on how many
+there are: their number only decides how many of the exact bits name a part of the index. Within a part, each link that connects
 nothing new is left out, so that a dense group gives as many links as it has members. A part
 with very many members is dealt into blocks, and each two blocks meet in a task of their own.
 
@@ -33,7 +34,7 @@ from loomdex.llm.rows import keep_chosen, text_key
 from loomdex.llm.words import hashed, rolling
 from loomdex.runtime import materialize
 
-BITS, SEGMENTS = 384, 20
+BITS, SEGMENTS, EXACT = 384, 48, 9
 #: Members of a part, about, and of a block of a hot one.
 PART, BLOCK = 25_000, 20_000
 #: Pairs that are compared at once.
@@ -46,6 +47,8 @@ SIGMAS = 3
 VERIFIED = 500
 
 _MIX = np.random.default_rng(384).integers(1, 2**63, BITS // 64, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+#: Bits of the segments, in two orders.
+_ORDERS = [np.arange(BITS), np.random.default_rng(48).permutation(BITS)]
 
 
 def farthest(similarity: float) -> int:
@@ -100,19 +103,24 @@ class _Forest:
         return out
 
 
-def _links_of(distance: int, high: int):
+def segments_of(signatures: np.ndarray) -> np.ndarray:
+    """The SEGMENTS segments of signatures, a row of bytes each."""
+    bits = np.unpackbits(signatures, axis=1, bitorder="little")
+    return np.hstack([np.ascontiguousarray(np.packbits(bits[:, o], axis=1, bitorder="little")).view(np.uint16) for o in _ORDERS])
+
+
+def _links_of(distance: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         t, pair = int(rows["t"].iloc[0]), bool(rows["x"].iloc[0] != rows["y"].iloc[0])
         v = rows["v"].to_numpy()
         sig = np.frombuffer(b"".join(rows["sig"]), np.uint64).reshape(len(rows), -1)
         side = (rows["b"] == rows["x"]).to_numpy()
-        low = 16 - high
-        key = (sig.view(np.uint16)[:, t] & np.uint16((1 << low) - 1)).astype(np.int64)
+        key = segments_of(sig.view(np.uint8))[:, t].astype(np.int64)
         order = np.argsort(key, kind="stable")
         v, sig, side, key = v[order], sig[order], side[order], key[order]
-        start = np.searchsorted(key, np.arange((1 << low) + 1))
+        start = np.searchsorted(key, np.arange((1 << 16) + 1))
         forest, out = _Forest(len(v)), []
-        for flip in (0, *(1 << b for b in range(low))):
+        for flip in (0, *(1 << b for b in range(16 - EXACT))):
             probe = key ^ flip
             first = np.where(flip == 0, np.arange(len(v)) + 1, start[probe])
             many = np.maximum(0, start[probe + 1] - first)
@@ -143,11 +151,11 @@ def _links_of(distance: int, high: int):
 
 def similar_signatures(signatures: DataFrame, similarity: float) -> DataFrame:
     """Links ``(u, v)`` of distinct ``signatures(v long, sig binary)`` that connect all candidates found."""
-    high = min(12, max(0, math.ceil(math.log2(max(1, signatures.count()) / PART))))
+    high = min(EXACT, max(0, math.ceil(math.log2(max(1, signatures.count()) / PART))))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            segments = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), -1)
+            segments = segments_of(np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1))
             for t in range(SEGMENTS):
                 yield pd.DataFrame({"t": t, "r": (segments[:, t] >> (16 - high)).astype(np.int32) if high else np.int32(0), "v": rows["v"], "sig": rows["sig"]})
 
@@ -156,7 +164,7 @@ def similar_signatures(signatures: DataFrame, similarity: float) -> DataFrame:
     dealt = placed.join(sizes, ["t", "r"]).withColumn("b", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     met = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("t", "r", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "b", "v", "sig")
-    return met.groupBy("t", "r", "x", "y").applyInPandas(_links_of(farthest(similarity), high), "u long, v long")
+    return met.groupBy("t", "r", "x", "y").applyInPandas(_links_of(farthest(similarity)), "u long, v long")
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:

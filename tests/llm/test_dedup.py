@@ -152,6 +152,23 @@ def test_wide_links_are_exact(spark, monkeypatch, verified):
     assert found == {n: least[x] for n, x in enumerate(label)}
 
 
+def test_wide_candidates_do_not_depend_on_size(spark, monkeypatch):
+    """Of pairs as far apart as at 0.8 nearly all are found, the same ones however many parts the index has."""
+    rng = np.random.default_rng(12)
+    data = []
+    for i in range(1500):
+        bits = rng.integers(0, 2, simhash_wide.BITS, dtype=np.uint8)
+        other = bits.copy()
+        other[rng.choice(simhash_wide.BITS, simhash_wide.farthest(0.8) - 21 + i % 10, replace=False)] ^= 1
+        data += [(2 * i + n, bytearray(np.packbits(b).tobytes())) for n, b in enumerate((bits, other))]
+    df, found = spark.createDataFrame(data, "v long, sig binary"), []
+    for part in (25_000, 1500, 94, 6):
+        monkeypatch.setattr(simhash_wide, "PART", part)
+        found.append({(min(r), max(r)) for r in map(tuple, simhash_wide.similar_signatures(df, 0.8).distinct().collect())})
+    assert all(f == found[0] for f in found)
+    assert len(found[0]) >= 1490 and all(v == u + 1 and u % 2 == 0 for u, v in found[0])
+
+
 def test_wide_links_of_a_dense_group_are_few(spark):
     rng = np.random.default_rng(10)
     base = [f"w{j}" for j in range(300)]
