@@ -14,12 +14,13 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
     """``(text, y)`` of at most ``max_rows`` labelled documents, none held out, in a fixed order.
 
-    The sample is the rows of least xxhash64(doc_id): a bounded sample that doesn't
+    The sample is the documents of least xxhash64(doc_id): a bounded sample that doesn't
     depend on partitions. Repeated labels of a document count as their maximum.
     """
     y = labels.where(labels[label].isNotNull() & ~held_out(labels["doc_id"]))
     y = y.groupBy(F.col("doc_id").alias("d")).agg(F.max(label).cast("int").alias("y"))
-    # Labels are sampled before the texts are joined; a sample of max_rows pairs of numbers is small at any size of the input.
-    y = y.where(y["d"].isNotNull()).orderBy(F.xxhash64("d"), "d").limit(max_rows)
+    # Labels of documents that are there are sampled before the texts are joined; a sample of max_rows pairs of numbers is small at any size.
+    y = y.where(y["d"].isNotNull()).join(docs.select(docs["doc_id"].alias("d")).distinct(), "d", "left_semi")
+    y = y.orderBy(F.xxhash64("d"), "d").limit(max_rows)
     rows = docs.select(docs["doc_id"].alias("d"), F.coalesce(docs["text"], F.lit("")).alias("text")).join(F.broadcast(y), "d")
     return rows.select("d", "text", "y")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import sentencepiece
 
-from loomdex.llm import license_scan, quality, sentencepiece_codec, token_count, toxicity
+from loomdex.llm import labelled, license_scan, quality, sentencepiece_codec, token_count, toxicity
 from loomdex.llm.unigram import Segmenter, _fields, read_vocabulary
 
 MODEL = token_count.read_model()
@@ -198,3 +198,11 @@ def test_quality_tables_learn_interactions():
     assert {frozenset(p[:2]) for p in model.pairs} >= {frozenset((0, 1))}
     assert quality.features(None) == quality.features("") == [0.0] * len(quality.FEATURES)
     assert len(quality.features("A b!\nc")) == len(quality.FEATURES)
+
+
+def test_labels_of_absent_documents_take_no_place(spark, docs):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3000)], "doc_id long, toxic int")
+    present = {r.doc_id for r in docs.where("doc_id is not null").collect()}
+    eligible = [i for i in present if zlib.crc32(str(i).encode()) % 5]
+    got = {r.d for r in labelled.training_rows(docs, labels, "toxic", 20).collect()}
+    assert len(got) == 20 and got <= set(eligible)
