@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdex.config import EngineConfig
@@ -33,6 +36,58 @@ def delete(index: DataFrame, ids: DataFrame) -> DataFrame:
     return index.join(ids.select("id").distinct(), "id", "left_anti")
 
 
+#: Queries and rows, about, that meet in one task.
+QUERY_BLOCK, ROW_BLOCK = 500, 20_000
+
+
+def _best_of(most: int, exact: bool):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """The best rows of a block for each query of a block."""
+        found = []
+        for _, part in rows.groupby(rows["vec"].map(len), sort=False):
+            asked = part["asked"].to_numpy()
+            q, e = part[asked], part[~asked].sort_values("id")
+            if q.empty or e.empty:
+                continue
+            vectors = np.stack(e["vec"].to_numpy()).astype(np.float64)
+            lengths = np.sqrt((vectors * vectors).sum(axis=1))
+            ids, keys = e["id"].to_numpy(), e["key"].to_numpy()
+            for query_id, key, vec in zip(q["query_id"], q["key"], q["vec"], strict=True):
+                v = np.asarray(vec, np.float64)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    s = vectors @ v / (lengths * np.sqrt(v @ v))
+                s = np.sign(s) * np.floor(np.abs(s) * 1e6 + 0.5) / 1e6 + 0.0
+                mine = (keys == key) if key is not None else np.zeros(len(keys), bool)
+                of = np.flatnonzero(np.isfinite(s) & mine if exact else np.isfinite(s))
+                of = of[np.argsort(-s[of], kind="stable")[:most]]
+                found.append(pd.DataFrame({"query_id": query_id, "id": ids[of], "score": s[of], "mine": mine[of].astype(bool)}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "score": [], "mine": []})
+
+    return run
+
+
+def search_all(index: DataFrame, queries: DataFrame, k: int | None = None, config: EngineConfig = EngineConfig(), tenant: tuple[str, ...] = ("user_id", "project_id")) -> DataFrame:
+    """As :func:`search`, for any number of ``queries(query_id, vector, <tenant columns>)``: blocks of them meet blocks of all rows."""
+    k = config.top_k if k is None else k
+    exact = config.search_mode == "exact"
+    most = k if exact else min(config.over_fetch * k, config.top_k_cap)
+    n_queries, n_rows = (max(1, math.ceil(df.count() / size)) for df, size in ((queries, QUERY_BLOCK), (index, ROW_BLOCK)))
+    whole = reduce(lambda a, b: a & b, [F.col(t).isNotNull() for t in tenant])
+    key = F.when(whole, F.to_json(F.struct(*[F.col(t).cast("string").alias(t) for t in tenant]))).alias("key")
+    kind = dict(queries.dtypes)["query_id"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    vec = lambda c: F.col(c).cast("array<double>").alias("vec")
+    asked = queries.select("query_id", F.lit(None).cast("string").alias("id"), key, vec("vector"), F.lit(True).alias("asked"), F.pmod(F.xxhash64("query_id"), F.lit(n_queries)).cast("int").alias("x"), every(n_rows).alias("y"))
+    met = index.select(F.lit(None).cast(kind).alias("query_id"), "id", key, vec("embedding"), F.lit(False).alias("asked"), every(n_queries).alias("x"), F.pmod(F.xxhash64("id"), F.lit(n_rows)).cast("int").alias("y"))
+    rows = asked.union(met).where("vec is not null and not exists(vec, v -> v is null)")
+    rows = rows.withColumn("query_id", F.col("query_id").cast("string"))
+    best = rows.groupBy("x", "y").applyInPandas(_best_of(most, exact), "query_id string, id string, score double, mine boolean")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
+    best = best.withColumn("r", F.row_number().over(order)).where((F.col("r") <= most) & F.col("mine"))
+    best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select(F.col("query_id").cast(kind).alias("query_id"), "rank", "id", "score")
+
+
 def search(index: DataFrame, queries: list[dict], k: int | None = None, config: EngineConfig = EngineConfig(), tenant: tuple[str, ...] = ("user_id", "project_id")) -> DataFrame:
     """``(query_id, rank, id, score)`` of each of a few queries ``{query_id, vector, <tenant columns>}``.
 

@@ -480,9 +480,8 @@ _SCORES = f"""s AS (SELECT q.vec_id AS query_id, q.label AS qt, lpad(e.vec_id::V
 
 def _search(spark, d, mode: str, k: int):
     rows = on.vectors(spark, d)
-    asked = rows.where(F.col("vec_id").isin(*_QUERY_IDS)).select("vec_id", "tenant", "embedding").collect()  # five rows
-    queries = [{"query_id": r["vec_id"], "tenant": r["tenant"], "vector": r["embedding"]} for r in asked]
-    return vector_index.search(rows, queries, k, EngineConfig(search_mode=mode), ("tenant",))
+    queries = rows.where(F.col("vec_id").isin(*_QUERY_IDS)).select(F.col("vec_id").alias("query_id"), "tenant", F.col("embedding").alias("vector"))
+    return vector_index.search_all(rows, queries, k, EngineConfig(search_mode=mode), ("tenant",))
 
 
 @query(f"""WITH {_SCORES} SELECT query_id, rank, id, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS rank

@@ -187,6 +187,21 @@ def test_tenants_in_search(spark):
     assert vector_index.search(index, [{**ask[0], "vector": [0.0, 0.0]}], 5, EngineConfig(), ("tenant",)).count() == 0
 
 
+def test_search_of_many_queries(spark, monkeypatch):
+    """Every row asks, in several blocks, with ties, zero vectors and null tenants: as one by one."""
+    monkeypatch.setattr(vector_index, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(vector_index, "ROW_BLOCK", 50)
+    rows = [(i, f"{i:04d}", None if i % 29 == 0 else f"t{i % 3}", [float(i * 7 % 11), float(i * 5 % 13) - 6, float(i % 2)]) for i in range(120)]
+    index = spark.createDataFrame(rows + [(500, "0500", "t1", [0.0, 0.0, 0.0])], "n long, id string, tenant string, embedding array<float>").cache()
+    asked = index.where("n % 15 = 0 or n = 500")
+    few = [{"query_id": r.n, "tenant": r.tenant, "vector": r.embedding} for r in asked.collect() if r.tenant is not None]
+    for mode in ("exact", "faithful"):
+        config = EngineConfig(search_mode=mode)
+        many = vector_index.search_all(index, asked.selectExpr("n as query_id", "tenant", "embedding as vector"), 6, config, ("tenant",))
+        wanted = vector_index.search(index, few, 6, config, ("tenant",))
+        assert many.columns == wanted.columns and sorted(map(tuple, many.collect())) == sorted(map(tuple, wanted.collect()))
+
+
 def test_vector_ids(spark):
     ids = spark.createDataFrame([("user-alice", "project-one", "h" * 64), ("a_b", "p", "hash")], "u string, p string, h string")
     short = hashing.vector_id(F.col("u"), F.col("p"), F.col("h"))
