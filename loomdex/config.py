@@ -21,6 +21,8 @@ class EngineConfig:
 
     search_mode: ``exact`` filters tenants before ranking; ``faithful`` ranks min(3k, 20) rows of all tenants first.
     commit_mode: ``last`` stores a root when its work is done; ``first`` before it.
+    model_timeout, query_timeout, retry_pause: seconds that a call of a provider may take, that one for a query may take,
+    and between the latter's attempts.
     """
 
     chunks: ChunkConfig = ChunkConfig()
@@ -34,3 +36,6 @@ class EngineConfig:
     dimensions: int = 1024
     search_mode: str = "exact"
     commit_mode: str = "last"
+    model_timeout: float = 25.0
+    query_timeout: float = 15.0
+    retry_pause: float = 0.5

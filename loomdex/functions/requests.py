@@ -14,6 +14,9 @@ NO_PROJECT = "projectId is required"
 NO_ROOT = "merkleRoot is required"
 NO_CHUNKS = "chunks array is required"
 BAD_PHASE = "phase must be 1 or 2"
+NO_TEXTS = "chunks array is required"
+NO_LANGUAGE = "languageId is required"
+NO_INPUT = "input is required"
 
 BEARER, TOKEN = "Bearer ", "dev-token-"
 

@@ -19,6 +19,33 @@ def lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+#: Values that one sum runs over before the next one starts.
+SUMMED = 256
+
+
+def running_sums(values: Column) -> Column:
+    """Sums of the first values of an array, for :func:`sum_before`.
+
+    In two levels, within groups of SUMMED values and of whole groups, so that the cost hardly grows faster than the array.
+    """
+
+    def sums(a: Column) -> Column:
+        return F.aggregate(a, F.array(F.lit(0).cast("long")), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+
+    return F.transform(F.sequence(F.lit(0), (F.size(values) / SUMMED).cast("int")), lambda g: sums(F.slice(values, g * SUMMED + 1, F.lit(SUMMED))))
+
+
+def group_sums(within: Column) -> Column:
+    """The second level of :func:`running_sums`: the sums of whole groups before each group."""
+    return F.aggregate(within, F.array(F.lit(0).cast("long")), lambda s, g: F.concat(s, F.array(F.element_at(s, -1) + F.element_at(g, -1))))
+
+
+def sum_before(within: Column, before: Column, k: Column) -> Column:
+    """The sum of the first ``k`` values."""
+    group = (k / SUMMED).cast("int")
+    return F.get(before, group) + F.get(F.get(within, group), (k % SUMMED).cast("int"))
+
+
 def strip_thinking(text: Column) -> Column:
     return F.regexp_replace(text, r"(?is)<think>.*?</think>", "")
 

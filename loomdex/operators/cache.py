@@ -21,9 +21,15 @@ def with_hits(chunks: DataFrame, cache: DataFrame) -> DataFrame:
     return chunks.join(known, "hash", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
+def latest(cache: DataFrame) -> DataFrame:
+    """One entry of each hash: that which expires last; of entries alike in that, the same one in every run."""
+    rows = cache.withColumn("__k", F.xxhash64(*cache.columns))
+    return latest_by_key(rows, ["hash"], ["expires_at", "__k"]).select(*cache.columns)
+
+
 def split(chunks: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chunks that the cache has, with its columns, and those that it hasn't, row for row."""
-    known = cache.dropDuplicates(["hash"])
+    known = latest(cache)
     return chunks.join(known, "hash"), chunks.join(known, "hash", "left_anti")
 
 
@@ -37,6 +43,26 @@ def needed_chunks(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
     return chunks.join(wanted.select("hash").distinct(), "hash", "left_semi")
 
 
+def hit_rate(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """``(..., hit_rate)`` of rows with ``hit``: the share that the cache had, to 6 decimals."""
+    return hits.groupBy(*keys).agg(F.round(F.avg(F.col("hit").cast("int")), 6).alias("hit_rate"))
+
+
+def savings(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """``(..., saved)``: percentage of chunks whose code needn't be sent, to one decimal."""
+    share = 100.0 * F.count_if("hit") / F.nullif(F.count("*"), F.lit(0))
+    return hits.groupBy(*keys).agg(F.round(share, 1).alias("saved"))
+
+
+def summary(hits: DataFrame) -> DataFrame:
+    """One row ``(received, cached, sent, projects, message)`` of what a sync did."""
+    message = F.concat(F.lit("synced "), F.count("*").cast("string"), F.lit(" chunks"))
+    return hits.agg(
+        F.count("*").alias("received"), F.count_if("hit").alias("cached"), F.count_if(~F.col("hit")).alias("sent"),
+        F.count_distinct("project_id").alias("projects"), message.alias("message"),
+    )
+
+
 def put(cache: DataFrame, rows: DataFrame, now: Column, ttl_days: int) -> DataFrame:
     """The cache after ``rows`` were stored at ``now``; of one hash the later entry stays."""
     fresh = rows.withColumn("expires_at", now + F.make_interval(days=F.lit(ttl_days)))

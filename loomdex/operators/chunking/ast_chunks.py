@@ -22,7 +22,13 @@ from loomdex.functions.paths import CHUNK_TYPES, SEMANTIC_NODES
 from loomdex.functions.text import SPACES
 from loomdex.operators.chunking.gaps import fill_gaps
 from loomdex.operators.chunking.lines import line_windows
-from loomdex.runtime import materialize
+from loomdex.operators.tenants import file_key
+from loomdex.runtime import materialize, ship
+
+#: Kinds of nodes whose semantic parts stand directly below them; those of a class or module stand in its body.
+DIRECT = ("export_statement", "decorated_definition")
+#: What is a method within a class, by language.
+METHODS = {("javascript", "method_definition"), ("typescript", "method_definition"), ("python", "function_definition")}
 
 
 @dataclass
@@ -49,6 +55,21 @@ def parse_python(code: str) -> list[Node]:
     def offset(line: int, column: int) -> int:
         return at[line - 1] + len(text[line - 1].encode()[:column].decode())
 
+    def start(node) -> int:
+        return offset(node.lineno, node.col_offset)
+
+    def end(node) -> int:
+        return offset(node.end_lineno, node.end_col_offset)
+
+    def parameters(a: ast.arguments) -> list[str]:
+        """As written, with their types and defaults; ``/`` and a bare ``*`` count."""
+        plain = [*a.posonlyargs, *a.args]
+        default = dict(zip(reversed(plain), reversed(a.defaults))) | {k: d for k, d in zip(a.kwonlyargs, a.kw_defaults, strict=True) if d}  # noqa: B905
+        written = lambda x: code[start(x) : end(default.get(x, x))]
+        out = [written(x) for x in a.posonlyargs] + ["/"] * bool(a.posonlyargs) + [written(x) for x in a.args]
+        out += ["*" + written(a.vararg)] if a.vararg else ["*"] * bool(a.kwonlyargs)
+        return out + [written(x) for x in a.kwonlyargs] + (["**" + written(a.kwarg)] if a.kwarg else [])
+
     def nodes(body: list[ast.stmt]) -> list[Node]:
         out = []
         for item in body:
@@ -57,109 +78,239 @@ def parse_python(code: str) -> list[Node]:
                 out += inner
                 continue
             is_class = isinstance(item, ast.ClassDef)
-            node = Node("class_definition" if is_class else "function_definition", offset(item.lineno, item.col_offset), offset(item.end_lineno, item.end_col_offset), item.name, children=inner)
+            node = Node("class_definition" if is_class else "function_definition", start(item), end(item), item.name, children=inner)
             if not is_class:
-                a = item.args
-                node.parameters = [ast.unparse(x) for x in (*a.posonlyargs, *a.args, *a.kwonlyargs)]
-                node.returns = ast.unparse(item.returns) if item.returns else None
+                node.parameters = parameters(item.args)
+                node.returns = code[start(item.returns) : end(item.returns)] if item.returns else None
             if item.decorator_list:
                 first = item.decorator_list[0]
-                node = Node("decorated_definition", offset(first.lineno, first.col_offset) - 1, node.end, None, children=[node])
+                node = Node("decorated_definition", start(first) - 1, node.end, None, children=[node])
             out.append(node)
         return out
 
     return nodes(ast.parse(code).body)
 
 
-_OPAQUE = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])+'|`(?:\\.|[^`\\])*`", re.S)
+_COMMENT = r"//[^\n]*|/\*.*?\*/"
+_QUOTED = r"\"(?:\\.|[^\"\\\n])*\""
+_REGEX = r"(?:(?<=[(,=:!&|?{};])|(?<=return))[ \t]*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*"
+_TICKED = r"`(?:\\.|[^`\\])*`"
+#: What hides brackets, by language: a single quote begins a string in some, a character or a lifetime in others.
+_OPAQUE = {
+    "javascript": re.compile(rf"{_COMMENT}|{_QUOTED}|'(?:\\.|[^'\\\n])*'|{_TICKED}|{_REGEX}", re.S),
+    "go": re.compile(rf"{_COMMENT}|{_QUOTED}|'(?:\\.[^']*|[^'\\\n])'|`[^`]*`", re.S),
+    "rust": re.compile(rf"{_COMMENT}|\"(?:\\.|[^\"\\])*\"|'(?:\\.[^']*|[^'\\\n])'", re.S),
+}
+_OPAQUE["typescript"] = _OPAQUE["javascript"]
 
 _NAME = r"(?P<name>[A-Za-z_$][\w$]*)"
+_RUST = r"(?:\bpub(?:\([^)]*\))?\s+)?"
+_NO_METHOD = r"(?!(?:if|for|while|switch|catch|return|function|else|do|new|typeof|await|throw|super)\b)"
+_EXPORT = re.compile(r"\bexport\b(?:\s+default\b)?(?:\s+declare\b)?\s*")
 _JS = (
-    ("export_statement", r"\bexport\b(?!\s*[*{])"),
     ("function_declaration", rf"(?:\basync\s+)?\bfunction\s+{_NAME}"),
     ("generator_function_declaration", rf"(?:\basync\s+)?\bfunction\s*\*\s*{_NAME}"),
-    ("class_declaration", rf"(?:\babstract\s+)?\bclass\s+{_NAME}"),
-    ("lexical_declaration", rf"\b(?:const|let)\s+(?:{_NAME}|[\[{{])"),
-    ("variable_declaration", rf"\bvar\s+(?:{_NAME}|[\[{{])"),
-    ("method_definition", rf"^[ \t]+(?:(?:public|private|protected|static|async|readonly|get|set)\s+)*(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b){_NAME}\s*\([^()]*\)\s*(?::[^\n{{;]+)?(?=\{{)"),
+    ("class_declaration", rf"(?<!abstract )\bclass\s+{_NAME}"),
+    ("abstract_class_declaration", rf"\babstract\s+class\s+{_NAME}"),
+    ("lexical_declaration", r"\b(?:const|let)\s+(?!enum\b)(?=[A-Za-z_$\[{])"),
+    ("variable_declaration", r"\bvar\s+(?=[A-Za-z_$\[{])"),
+    ("method_definition", rf"^[ \t]+(?:(?:public|private|protected|static|async|override|readonly|get|set)\s+)*\*?{_NO_METHOD}{_NAME}\s*(?=[<(])"),
 )
 _PATTERNS = {
     "javascript": _JS,
     "typescript": (
         *_JS,
         ("interface_declaration", rf"\binterface\s+{_NAME}"),
-        ("type_alias_declaration", rf"^[ \t]*(?:export\s+)?\btype\s+{_NAME}[^=\n]*="),
+        ("type_alias_declaration", rf"(?:^|(?<=export))[ \t]*\btype\s+{_NAME}(?=[^=\n]*=)"),
         ("enum_declaration", rf"\b(?:const\s+)?enum\s+{_NAME}"),
     ),
     "go": (
         ("function_declaration", rf"^func\s+{_NAME}"),
         ("method_declaration", rf"^func\s*\([^)]*\)\s*{_NAME}"),
-        ("type_declaration", rf"^type\s+{_NAME}"),
+        ("type_declaration", r"^type\s+(?=[A-Za-z_(])"),
+        ("struct_type", r"\bstruct\s*(?=\{)"),
+        ("interface_type", r"\binterface\s*(?=\{)"),
     ),
     "rust": (
-        ("function_item", rf"(?:\bpub(?:\([^)]*\))?\s+)?(?:\b(?:async|const|unsafe)\s+)*\bfn\s+{_NAME}"),
-        ("impl_item", r"^\s*impl\b"),
-        ("struct_item", rf"(?:\bpub(?:\([^)]*\))?\s+)?\bstruct\s+{_NAME}"),
-        ("enum_item", rf"(?:\bpub(?:\([^)]*\))?\s+)?\benum\s+{_NAME}"),
-        ("trait_item", rf"(?:\bpub(?:\([^)]*\))?\s+)?\btrait\s+{_NAME}"),
-        ("mod_item", rf"(?:\bpub(?:\([^)]*\))?\s+)?\bmod\s+{_NAME}"),
+        ("function_item", rf"{_RUST}(?:\b(?:async|const|unsafe)\s+)*\bfn\s+{_NAME}"),
+        ("impl_item", r"^\s*(?:unsafe\s+)?impl\b"),
+        ("struct_item", rf"{_RUST}\bstruct\s+{_NAME}"),
+        ("enum_item", rf"{_RUST}\benum\s+{_NAME}"),
+        ("trait_item", rf"{_RUST}(?:unsafe\s+)?\btrait\s+{_NAME}"),
+        ("mod_item", rf"{_RUST}\bmod\s+{_NAME}"),
     ),
 }
+_CALLABLE = ("function_declaration", "generator_function_declaration", "method_definition", "method_declaration", "function_item")
+#: Nodes that end with their statement, even after a closing bracket.
+_STATEMENTS = ("lexical_declaration", "variable_declaration", "type_alias_declaration")
+_ARROW = re.compile(r"\s*(?P<type>:[^={};]+?)?\s*=>")
+_BARE_ARROW = re.compile(r"(?<![\w$.])(?:async\s+)?(?P<one>[A-Za-z_$][\w$]*)\s*=>")
 
 
-def _hidden(code: str) -> str:
+def _hidden(code: str, language: str) -> str:
     """The code with strings and comments as blanks, of the same length."""
-    return _OPAQUE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), code)
+    return _OPAQUE[language].sub(lambda m: re.sub(r"[^\n]", " ", m[0]), code)
 
 
-def _end_of(plain: str, at: int) -> int:
-    """Where a declaration ends: after its body's closing bracket, or at the end of its statement."""
-    depth, braced = 0, False
-    for i in range(at, len(plain)):
+def _closings(plain: str) -> dict[int, int]:
+    """Where each opening bracket is closed."""
+    open_, out = [], {}
+    for m in re.finditer(r"[()\[\]{}]", plain):
+        if m[0] in "([{":
+            open_.append(m.start())
+        elif open_:
+            out[open_.pop()] = m.start()
+    return out
+
+
+def _goes_on(plain: str, at: int) -> bool:
+    """Whether a statement goes on after the line end at ``at``."""
+    before = plain[max(0, at - 80) : at].rstrip()
+    return bool(re.search(r"(?:[=+\-*/&|?:,<({\[.]|=>)$", before)) or not re.compile(r"\s*(?:\n|$|[A-Za-z@}])").match(plain, at + 1)
+
+
+def _end_of(plain: str, at: int, closed: dict[int, int], block: bool) -> int:
+    """Where a declaration ends: with ``block`` after its body's closing bracket, else at the end of its statement."""
+    i = at
+    while i < len(plain):
         c = plain[i]
         if c in "([{":
-            braced = braced or c == "{" and depth == 0
-            depth += 1
-        elif c in ")]}":
-            depth -= 1
-            if depth < 0:
-                return i
-            if depth == 0 and c == "}" and braced:
+            i = closed.get(i, len(plain))
+            if c == "{" and block:
                 rest = re.compile(r"[ \t]*;").match(plain, i + 1)
-                return rest.end() if rest else i + 1
-        elif depth == 0 and (c == ";" or c == "\n" and re.compile(r"\s*(?:\n|$|[A-Za-z@}])").match(plain, i + 1)):
-            return i + (c == ";")
+                return min(len(plain), rest.end() if rest else i + 1)
+        elif c in ")]},":
+            if c != "," or not block:
+                if c != ",":
+                    return i
+        elif c == ";":
+            return i + 1
+        elif c == "\n" and not _goes_on(plain, i):
+            return i
+        i += 1
     return len(plain)
 
 
+def _pieces(code: str, plain: str, start: int, end: int) -> list[str]:
+    """What commas outside of brackets cut a range into."""
+    out, depth, at = [], 0, start
+    for i in range(start, end):
+        c = plain[i]
+        depth += (c in "([{<") - (c in ")]}" or c == ">" and plain[i - 1] not in "=-")
+        if c == "," and depth == 0:
+            out.append(code[at:i].strip())
+            at = i + 1
+    return [p for p in (*out, code[at:end].strip()) if p]
+
+
+def _signature(code: str, plain: str, at: int, closed: dict[int, int], language: str):
+    """(parameters, return type, where the body begins) of what is called, from after its name; None without brackets."""
+    i = re.compile(r"\s*").match(plain, at).end()
+    if i < len(plain) and plain[i] in "<[" :  # type parameters
+        depth = 0
+        for j in range(i, len(plain)):
+            depth += (plain[j] in "<[") - (plain[j] == "]" or plain[j] == ">" and plain[j - 1] not in "=-")
+            if depth == 0:
+                i = re.compile(r"\s*").match(plain, j + 1).end()
+                break
+    if i >= len(plain) or plain[i] != "(" or i not in closed:
+        return None
+    parameters, j = _pieces(code, plain, i + 1, closed[i]), closed[i] + 1
+    mark = {"rust": "->", "go": None}.get(language, ":")
+    head = re.compile(rf"\s*{mark}").match(plain, j) if mark else None
+    if not head:
+        return parameters, None, j
+    first = head.end() if mark == "->" else head.end() - 1
+    k = head.end()
+    while k < len(plain):
+        c = plain[k]
+        told = plain[head.end() : k].strip()
+        if c == ";" or c == "\n" and told and not _goes_on(plain, k) or c == "{" and told and told[-1] not in "|&:,<(>" or language == "rust" and re.compile(r"where\b").match(plain, k):
+            break
+        if c == "{" and told.endswith(">") and not told.endswith("=>"):
+            break
+        k = closed.get(k, k) + 1 if c in "([{" else k + 1
+    return parameters, code[first:k].strip() or None, k
+
+
+def _arrows(code: str, plain: str, closed: dict[int, int]) -> list[Node]:
+    """Arrow functions, from their parameters to the end of their body."""
+    heads = [(i, closed[i] + 1, _pieces(code, plain, i + 1, closed[i])) for i in closed if plain[i] == "("]
+    heads = [(i, m, p) for i, z, p in heads if (m := _ARROW.match(plain, z))]
+    heads += [(m.start("one"), m, None) for m in _BARE_ARROW.finditer(plain)]
+    out = []
+    for start, m, parameters in heads:
+        before = re.compile(r"\basync\s+$").search(plain[max(0, start - 20) : start])
+        start -= len(before[0]) if before else 0
+        at = re.compile(r"\s*").match(plain, m.end()).end()
+        end = closed.get(at, len(plain)) + 1 if plain[at : at + 1] == "{" else _expression_end(plain, at, closed)
+        type_ = m.groupdict().get("type")
+        out.append(Node("arrow_function", start, min(end, len(plain)), None, parameters, type_.strip() if type_ else None))
+    return out
+
+
+def _exports(plain: str, closed: dict[int, int], known: dict[int, Node]) -> list[Node]:
+    """Exports end with what they declare, else with their statement or the body of a nameless function or class."""
+    out = []
+    for m in _EXPORT.finditer(plain):
+        if m.end() in known:
+            end = known[m.end()].end
+        else:
+            block = bool(re.compile(r"(?:async\s+|abstract\s+)*(?:function|class|namespace|module)\b").match(plain, m.end()))
+            end = _end_of(plain, m.end(), closed, block)
+        out.append(Node("export_statement", m.start(), end))
+    return out
+
+
+def _after_types(plain: str, at: int) -> int:
+    """Where type parameters that begin at ``at`` end; ``at`` itself without any."""
+    if plain[at : at + 1] != "<":
+        return at
+    depth = 0
+    for i in range(at, len(plain)):
+        depth += (plain[i] == "<") - (plain[i] == ">" and plain[i - 1] not in "=-")
+        if depth == 0:
+            return i + 1
+    return at
+
+
+def _expression_end(plain: str, at: int, closed: dict[int, int]) -> int:
+    i = at
+    while i < len(plain) and plain[i] not in ",;)]}" and not (plain[i] == "\n" and not _goes_on(plain, i)):
+        i = closed.get(i, len(plain)) + 1 if plain[i] in "([{" else i + 1
+    return min(i, len(plain))
+
+
 def parse_brackets(code: str, language: str) -> list[Node]:
     """Declarations that the scanner recognizes, nested by their spans."""
-    plain, found = _hidden(code), []
+    plain = _hidden(code, language)
+    closed, found = _closings(plain), []
     for kind, pattern in _PATTERNS[language]:
         for m in re.finditer(pattern, plain, re.M):
             start = m.start() + len(m[0]) - len(m[0].lstrip())
-            node = Node(kind, start, _end_of(plain, m.end()), m.groupdict().get("name"))
-            if "function" in kind or kind == "method_declaration":
-                head = re.compile(r"\s*(?:<[^>]*>)?\s*\(").match(plain, m.end())
-            else:
-                head = re.compile(r"[^(]*\(").match(plain, start, m.end()) if kind == "method_definition" else None
-            if head:
-                inside = code[head.end() : plain.find(")", head.end())]
-                node.parameters = [p.strip() for p in inside.split(",") if p.strip()]
+            node, at = Node(kind, start, start, m.groupdict().get("name")), m.end()
+            block = kind not in _STATEMENTS
+            if kind in _CALLABLE:
+                told = _signature(code, plain, at, closed, language)
+                if told is None or kind == "method_definition" and not re.compile(r"\s*\{").match(plain, told[2]):
+                    continue
+                node.parameters, node.returns, at = told
+            node.end = _end_of(plain, _after_types(plain, at), closed, block)
             found.append(node)
-    found.sort(key=lambda n: (n.start, -n.end))
+    if language in ("javascript", "typescript"):
+        found += _arrows(code, plain, closed)
+        found += _exports(plain, closed, {n.start: n for n in sorted(found, key=lambda n: n.end)})
+    found.sort(key=lambda n: (n.start, -n.end, n.kind != "export_statement"))
     top: list[Node] = []
     stack: list[Node] = []
     for node in found:
         while stack and stack[-1].end < node.end:
             stack.pop()
-        if stack and node.kind == "method_definition" and stack[-1].kind != "class_declaration":
+        if node.kind == "method_definition" and not (stack and stack[-1].kind.endswith("class_declaration")):
             continue
-        if not stack and node.kind == "method_definition":
-            continue
-        if stack and stack[-1].kind == "export_statement":
+        if stack and stack[-1].kind == "export_statement" and not stack[-1].children:
             node.exported = True
-            stack[-1].name = stack[-1].name or node.name
+            stack[-1].name = node.name
         (stack[-1].children if stack else top).append(node)
         stack.append(node)
     return top
@@ -178,8 +329,9 @@ def parse(code: str, language: str) -> list[Node] | None:
 def extract(code: str, language: str, config: ChunkConfig = ChunkConfig()) -> list[dict]:
     """Chunks of a file, in order of their starts; none where nothing is big enough.
 
-    A semantic node of fitting size is a chunk. A smaller one is searched for chunks within; a larger one gives its
-    direct semantic children that are big enough, of any size, or itself if it has none.
+    A semantic node of fitting size is a chunk. A smaller one is searched for chunks within; a larger one gives the
+    semantic nodes directly below it that are big enough, of any size, or itself if it has none: an export and a
+    decorated definition have one, while parts of a class stand in its body.
     """
     kinds = SEMANTIC_NODES.get(language, ())
     starts = [0] + [i + 1 for i, c in enumerate(code) if c == "\n"]
@@ -197,7 +349,8 @@ def extract(code: str, language: str, config: ChunkConfig = ChunkConfig()) -> li
     def walk(node: Node, parent: str | None) -> None:
         size = node.end - node.start
         if node.kind in kinds and size >= config.min_chunk:
-            parts = [c for c in node.children if c.kind in kinds and c.end - c.start >= config.min_chunk]
+            below = node.children if node.kind in DIRECT else []
+            parts = [c for c in below if c.kind in kinds and c.end - c.start >= config.min_chunk]
             if size > config.max_chunk and parts:
                 for c in parts:
                     emit(c, node.name or parent)
@@ -212,41 +365,47 @@ def extract(code: str, language: str, config: ChunkConfig = ChunkConfig()) -> li
     return sorted(out, key=lambda c: c["line_start"])
 
 
-_SCHEMA = (
-    "project_id string, relative_path string, language_id string, type string, name string, parent string, parameters array<string>, returns string,"
-    " is_async boolean, exported boolean, line_start int, line_end int, char_start int, char_end int, text string, seq int"
-)
+_COLUMNS = {
+    "language_id": "string", "type": "string", "name": "string", "parent": "string", "parameters": "array<string>", "returns": "string", "is_async": "boolean",
+    "exported": "boolean", "line_start": "int", "line_end": "int", "char_start": "int", "char_end": "int", "text": "string", "seq": "int",
+}
 
 
 def semantic_chunks(files: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """Chunks by syntax alone, with metadata; files without any have no rows."""
+    key = file_key(files)
+    ship(files.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in _SCHEMA.replace(", ", ",").split(",")]
         for rows in batches:
             out = []
-            for project, path, language, content in zip(rows["project_id"], rows["relative_path"], rows["language_id"], rows["content"], strict=True):
-                for seq, c in enumerate(extract(content, language, config)):
-                    out.append({"project_id": project, "relative_path": path, "language_id": language, "seq": seq, **c})
-            yield pd.DataFrame(out, columns=columns)
+            for row in rows.to_dict("records"):
+                own = {k: row[k] for k in (*key, "language_id")}
+                out += [{**own, "seq": seq, **c} for seq, c in enumerate(extract(row["content"], row["language_id"], config))]
+            yield pd.DataFrame(out, columns=[*key, *_COLUMNS])
 
     known = files.where(F.col("content").isNotNull() & F.col("language_id").isin(*SEMANTIC_NODES))
-    return known.select("project_id", "relative_path", "language_id", "content").mapInPandas(run, _SCHEMA)
+    schema = ", ".join([*(f"{k} string" for k in key), *(f"{c} {t}" for c, t in _COLUMNS.items())])
+    return known.select(*key, "language_id", "content").mapInPandas(run, schema)
 
 
 def chunk_files(files: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """All chunks of ``files(project_id, relative_path, content, language_id)``, without text.
+    """All chunks of ``files(project_id, relative_path, content, language_id)``, with ``text``.
 
-    Syntax chunks and blocks for the gaps between them; line windows for files without syntax chunks.
+    Syntax chunks and blocks for the gaps between them; line windows for files without syntax chunks. With a ``user_id``, files
+    are kept apart by it.
     """
-    key = ["project_id", "relative_path"]
+    key = file_key(files)
     found = materialize(semantic_chunks(files, config), "semantic")
     plain = files.select(*key, "content", "language_id")
-    columns = [*key, "hash", "type", "name", "language_id", "line_start", "line_end", "char_start", "char_end", "char_count"]
-    semantic = found.withColumn("hash", F.sha2("text", 256)).withColumn("char_count", F.length("text")).select(*columns, F.lit(False).alias("gap_fill"), F.lit(False).alias("fallback"))
-    gaps = fill_gaps(found, plain, config).select(*columns, F.lit(True).alias("gap_fill"), F.lit(False).alias("fallback"))
-    rest = plain.join(found.select(*key).distinct(), key, "left_anti")
-    windows = line_windows(rest, config).select(*columns, F.lit(False).alias("gap_fill"), F.lit(True).alias("fallback"))
+    columns = [*key, "hash", "type", "name", "language_id", "line_start", "line_end", "char_start", "char_end", "char_count", "text"]
+    flags = lambda gap, fallback: (F.lit(gap).alias("gap_fill"), F.lit(fallback).alias("fallback"))
+    semantic = found.withColumn("hash", F.sha2("text", 256)).withColumn("char_count", F.length("text")).select(*columns, *flags(False, False))
+    gaps = fill_gaps(found, plain.where(F.col("language_id").isin(*SEMANTIC_NODES)), config).select(*columns, *flags(True, False))
+    # Files of other languages need not meet the chunks that were found.
+    of_syntax = F.coalesce(F.col("language_id").isin(*SEMANTIC_NODES), F.lit(False))
+    rest = plain.where(of_syntax).join(found.select(*key).distinct(), key, "left_anti").unionByName(plain.where(~of_syntax))
+    windows = line_windows(rest, config).select(*columns, *flags(False, True))
     return semantic.unionByName(gaps).unionByName(windows)
 
 

@@ -7,22 +7,27 @@ from pyspark.sql import functions as F
 
 from loomdex.functions.hashing import file_hash
 from loomdex.operators.ranking import with_positions
+from loomdex.operators.tenants import file_key, owner
 from loomdex.operators.upsert import latest_by_key
+from loomdex.runtime import materialize
 
 #: Leaves that one row folds: a power of two, so that subtrees are aligned.
 FOLD = 256
 
 
 def leaves(files: DataFrame) -> DataFrame:
-    """``(project_id, relative_path, hash)`` of files with content."""
+    """``(project_id, relative_path, hash)`` of files with content; with their ``user_id``, if files have it.
+
+    So have all tables made of leaves: two users' projects of one id are two projects.
+    """
     hash_ = file_hash(F.col("relative_path"), F.col("content"))
-    return files.where(F.col("content").isNotNull()).select("project_id", "relative_path", hash_.alias("hash"))
+    return files.where(F.col("content").isNotNull()).select(*file_key(files), hash_.alias("hash"))
 
 
 def in_order(tree: DataFrame) -> DataFrame:
     """Leaves with ``idx``, their position by path in a locale's order (``_ < a < A < b``)."""
     order = [F.collate(F.col("relative_path"), "UNICODE"), F.col("relative_path")]
-    return with_positions(tree, ["project_id"], order)
+    return with_positions(tree, owner(tree), order)
 
 
 def _fold(hashes: Column) -> Column:
@@ -44,33 +49,37 @@ def _fold(hashes: Column) -> Column:
 
 def roots(tree: DataFrame) -> DataFrame:
     """``(project_id, root, n_files)``. Each pass folds aligned runs of FOLD nodes, whatever a project's size."""
-    level = in_order(tree).select("project_id", "idx", "hash")
-    sizes = tree.groupBy("project_id").agg(F.count("*").alias("n_files"))
+    key = owner(tree)
+    level = in_order(tree).select(*key, "idx", "hash")
+    sizes = tree.groupBy(*key).agg(F.count("*").alias("n_files"))
     most = sizes.agg(F.max("n_files")).first()[0] or 0
     while True:
-        run = level.groupBy("project_id", F.floor(F.col("idx") / FOLD).alias("idx"))
+        run = level.groupBy(*key, F.floor(F.col("idx") / FOLD).alias("idx"))
         hashes = F.transform(F.array_sort(F.collect_list(F.struct(F.col("idx"), "hash"))), lambda s: s["hash"])
-        level = run.agg(hashes.alias("h")).select("project_id", "idx", _fold(F.col("h")).alias("hash"))
+        level = run.agg(hashes.alias("h")).select(*key, "idx", _fold(F.col("h")).alias("hash"))
         most = -(-most // FOLD)
         if most <= 1:
             break
-    return level.select("project_id", F.col("hash").alias("root")).join(sizes, "project_id")
+    return level.select(*key, F.col("hash").alias("root")).join(sizes, key)
 
 
 def nodes(tree: DataFrame) -> DataFrame:
     """``(project_id, level, idx, hash)`` of all nodes, leaves being level 0."""
-    level = in_order(tree).select("project_id", F.lit(0).alias("level"), "idx", "hash")
-    most = tree.groupBy("project_id").count().agg(F.max("count")).first()[0] or 0
+    key = owner(tree)
+    level = in_order(tree).select(*key, F.lit(0).alias("level"), "idx", "hash")
+    most = tree.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
     out, k = level, 0
     while most > 1:
         k, most = k + 1, -(-most // 2)
         left = F.max(F.when(F.col("idx") % 2 == 0, F.col("hash")))
         right = F.max(F.when(F.col("idx") % 2 == 1, F.col("hash")))
-        several = level.groupBy("project_id").agg(F.max("idx").alias("top")).where("top > 0").select("project_id")
-        pairs = level.join(several, "project_id", "left_semi").groupBy("project_id", F.floor(F.col("idx") / 2).alias("idx"))
+        several = level.groupBy(*key).agg(F.max("idx").alias("top")).where("top > 0").select(*key)
+        pairs = level.join(several, key, "left_semi").groupBy(*key, F.floor(F.col("idx") / 2).alias("idx"))
         joined = pairs.agg(left.alias("l"), right.alias("r"))
         hash_ = F.when(F.col("r").isNull(), F.col("l")).otherwise(F.sha2(F.concat("l", "r"), 256))
-        level = joined.select("project_id", F.lit(k).alias("level"), "idx", hash_.alias("hash"))
+        level = joined.select(*key, F.lit(k).alias("level"), "idx", hash_.alias("hash"))
+        if k % 4 == 0:  # so that the plan of all levels grows with their number only
+            level = materialize(level, "level")
         out = out.unionByName(level)
     return out
 
@@ -84,15 +93,25 @@ def check_roots(client: DataFrame, server: DataFrame) -> DataFrame:
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """``(project_id, relative_path, status)`` of two snapshots of leaves: added, removed, modified, unchanged."""
-    a = old.select("project_id", "relative_path", F.col("hash").alias("old_hash"))
-    b = new.select("project_id", "relative_path", F.col("hash").alias("new_hash"))
+    key = file_key(old)
+    a = old.select(*key, F.col("hash").alias("old_hash"))
+    b = new.select(*key, F.col("hash").alias("new_hash"))
     status = (
         F.when(F.col("old_hash").isNull(), "added")
         .when(F.col("new_hash").isNull(), "removed")
         .when(F.col("old_hash") == F.col("new_hash"), "unchanged")
         .otherwise("modified")
     )
-    return a.join(b, ["project_id", "relative_path"], "full_outer").select("project_id", "relative_path", status.alias("status"))
+    return a.join(b, key, "full_outer").select(*key, status.alias("status"))
+
+
+def chunk_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``(project_id, hash, status)`` of two snapshots of chunks by hash: added, removed, unchanged."""
+    key = [*owner(old), "hash"]
+    a = old.select(*key).distinct().withColumn("__o", F.lit(True))
+    b = new.select(*key).distinct().withColumn("__n", F.lit(True))
+    status = F.when(F.col("__o").isNull(), "added").when(F.col("__n").isNull(), "removed").otherwise("unchanged")
+    return a.join(b, key, "full_outer").select(*key, status.alias("status"))
 
 
 def fold_events(events: DataFrame) -> DataFrame:

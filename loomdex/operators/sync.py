@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,18 +12,22 @@ from loomdex.config import EngineConfig
 from loomdex.functions.vectors import is_zero
 from loomdex.operators import cache as caches
 from loomdex.operators import merkle, models, vector_index
-from loomdex.operators.chunking.lines import line_windows
+from loomdex.operators.chunking.ast_chunks import chunk_files
+from loomdex.operators.telemetry import Telemetry
 from loomdex.operators.upsert import latest_by_key
 from loomdex.runtime import materialize
 
+TENANT = ["user_id", "project_id"]
+
 
 @dataclass
 class State:
-    """Tables of the server: embeddings by hash, vectors by id, roots by tenant."""
+    """Tables of the server: embeddings by hash, vectors by id, roots by tenant; and the chunks that each file has."""
 
     cache: DataFrame  # hash, summary, embedding, expires_at
     vectors: DataFrame  # id, user_id, project_id, hash, summary, ..., embedding, version, seq
     roots: DataFrame  # user_id, project_id, root
+    chunks: DataFrame | None = None  # user_id, project_id, relative_path, hash
 
 
 def phase1(chunks: DataFrame, cache: DataFrame) -> DataFrame:
@@ -44,20 +49,26 @@ def categorize(chunks: DataFrame, known: DataFrame) -> DataFrame:
     return caches.with_hits(chunks, known).select("project_id", "hash", F.when(F.col("hit"), "cached").otherwise("needed").alias("state"))
 
 
-def process(chunks: DataFrame, state: State, now: Column, version: int, summarizer=models.template_summarizer, embedder=None, config=EngineConfig()):
-    """Summarize, embed and store ``chunks(user_id, project_id, hash, code, ...)``; (new state, counts by project).
+def process(
+    chunks: DataFrame, state: State, now: Column, version: int, summarizer=models.template_summarizer, embedder=None,
+    config: EngineConfig = EngineConfig(), telemetry: Telemetry | None = None,
+):
+    """Summarize, embed and store ``chunks(user_id, project_id, hash, code, seq, ...)``; (new state, counts by project).
 
     Chunks that the cache has reuse its entry; the others are worked on once each. Zero vectors mark failures:
     they are neither cached nor stored, but count as processed, and make the status ``partial``.
     """
-    live = caches.alive(state.cache, now)
-    known = live.dropDuplicates(["hash"]).select("hash", "summary", "embedding")
-    hits = chunks.join(known, "hash").withColumn("hit", F.lit(True))
-    misses = chunks.join(known, "hash", "left_anti")
+    watch = telemetry or Telemetry()
+    known = caches.latest(caches.alive(state.cache, now)).select("hash", "summary", "embedding", F.lit(True).alias("hit"))
+    looked = chunks.join(known, "hash", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    # Written, so that chunks are made and looked up once for all that follows.
+    looked = materialize(watch.observe(looked, "lookup", received=F.count("*"), hits=F.count_if("hit")), "looked")
+    hits, misses = looked.where("hit"), looked.where("not hit").drop("summary", "embedding")
     made = models.embed(models.summarize(misses, summarizer, config), "summary", embedder, config)
-    made = materialize(made.withColumn("hit", F.lit(False)), "made")
-    good = made.where(~is_zero(F.col("embedding")))
-    cache = caches.put(state.cache, good.select("hash", "summary", "embedding").dropDuplicates(["hash"]), now, config.embedding_ttl_days)
+    failed = F.count_if(is_zero(F.col("embedding")))
+    made = materialize(watch.observe(made, "models", processed=F.count("*"), failed=failed), "made")
+    good = made.where(~is_zero(F.col("embedding"))).select("hash", "summary", "embedding")
+    cache = caches.put(state.cache, latest_by_key(good, ["hash"], ["summary"]), now, config.embedding_ttl_days)
     # Cached rows precede new ones; each in the order of the input.
     every = hits.unionByName(made).withColumn("version", F.lit(version)).withColumn("seq", F.struct(~F.col("hit"), "seq"))
     rows = vector_index.to_rows(every).drop("hit", "code")
@@ -65,38 +76,56 @@ def process(chunks: DataFrame, state: State, now: Column, version: int, summariz
     if state.vectors is None:
         vectors = latest_by_key(rows, ["id"], ["version", "seq"])
     zero = is_zero(F.col("embedding"))
-    counts = every.groupBy("user_id", "project_id").agg(
+    counts = every.groupBy(*TENANT).agg(
         F.count("*").alias("received"),
         F.count_if(~F.col("hit")).alias("processed"),
         F.count_if("hit").alias("hits"),
         F.count_distinct(F.when(~zero, F.col("hash"))).alias("stored"),
         F.when(F.bool_or(zero), "partial").otherwise("indexed").alias("status"),
     )
-    return State(materialize(cache, "cache"), materialize(vectors, "vectors"), state.roots), counts
+    vectors = materialize(watch.observe(vectors, "upsert", vectors=F.count("*")), "vectors")
+    return State(materialize(cache, "cache"), vectors, state.roots, state.chunks), counts
 
 
 def put_roots(roots: DataFrame, new: DataFrame) -> DataFrame:
     both = roots.withColumn("__v", F.lit(0)).unionByName(new.select(*roots.columns).withColumn("__v", F.lit(1)))
-    return latest_by_key(both, ["user_id", "project_id"], ["__v"]).select(*roots.columns)
+    return latest_by_key(both, TENANT, ["__v"]).select(*roots.columns)
 
 
-def sync(files: DataFrame, state: State, now: Column, version: int, config: EngineConfig = EngineConfig(), **providers):
+def sync(
+    files: DataFrame, state: State, now: Column, version: int, config: EngineConfig = EngineConfig(), dirty: DataFrame | None = None,
+    store_roots: Callable[[DataFrame], None] | None = None, telemetry: Telemetry | None = None, **providers,
+):
     """Bring the index up to date with ``files(user_id, project_id, relative_path, content, language_id)``.
 
-    Projects whose Merkle root is the server's are left alone before anything is chunked. The others' chunks are
-    processed, vectors of chunks that are gone are deleted, and the roots are stored last, so that a
-    failed run is repeated. Returns (new state, counts by project).
+    Projects whose Merkle root is the server's are left alone before anything is chunked. The others' files are cut by
+    syntax where their language is known, else by lines: all of them, or only those in ``dirty(user_id, project_id,
+    relative_path)`` if the state knows the chunks of the rest. Chunks are processed, and vectors of chunks that no file of the
+    project has any more are deleted. ``store_roots`` gets the table of roots to be stored: when all is done, so that a failed
+    run is repeated, or before anything is with the commit mode ``first``. Returns (new state, counts by project).
     """
-    owners = files.select("user_id", "project_id").distinct()
-    mine = merkle.roots(merkle.leaves(files)).join(owners, "project_id")
-    checked = materialize(merkle.check_roots(mine, state.roots), "checked")
-    changed = checked.where("changed").select("user_id", "project_id")
-    todo = files.join(changed, ["user_id", "project_id"], "left_semi")
-    chunks = line_windows(todo, config.chunks).join(owners, "project_id").withColumnRenamed("text", "code")
+    mine = materialize(merkle.roots(merkle.leaves(files)), "mine")
+    changed = materialize(merkle.check_roots(mine, state.roots).where("changed").select(*TENANT), "changed")
+    roots = materialize(put_roots(state.roots, mine), "roots")
+    if store_roots and config.commit_mode == "first":
+        store_roots(roots)
+    todo = files.join(changed, TENANT, "left_semi")
+    path = [*TENANT, "relative_path"]
+    none = files.sparkSession.createDataFrame([], "user_id string, project_id string, relative_path string, hash string")
+    known = none if state.chunks is None else state.chunks
+    kept = known.join(changed, TENANT, "left_anti")
+    if dirty is not None and state.chunks is not None:
+        todo = todo.join(dirty.select(*path).distinct(), path, "left_semi")
+        rest = known.join(changed, TENANT, "left_semi").join(files.select(*path), path, "left_semi")
+        kept = kept.unionByName(rest.join(dirty.select(*path).distinct(), path, "left_anti"))
+    chunks = chunk_files(todo, config.chunks).withColumnRenamed("text", "code")
     chunks = materialize(chunks.withColumn("seq", F.struct("relative_path", "line_start")), "chunks")
-    after, counts = process(chunks, state, now, version, config=config, **providers)
-    here = chunks.select("user_id", "project_id", "hash").distinct().withColumn("here", F.lit(True))
-    kept = after.vectors.join(changed.withColumn("redone", F.lit(True)), ["user_id", "project_id"], "left").join(here, ["user_id", "project_id", "hash"], "left")
-    vectors = kept.where("redone is null or here").select(*after.vectors.columns)
-    roots = put_roots(state.roots, mine.select("user_id", "project_id", "root"))
-    return State(after.cache, materialize(vectors, "vectors"), materialize(roots, "roots")), counts
+    after, counts = process(chunks, state, now, version, config=config, telemetry=telemetry, **providers)
+    manifest = materialize(kept.unionByName(chunks.select(*path, "hash").distinct()), "manifest")
+    here = manifest.select(*TENANT, "hash").distinct()
+    others = after.vectors.join(changed, TENANT, "left_anti")
+    vectors = others.unionByName(after.vectors.join(changed, TENANT, "left_semi").join(here, [*TENANT, "hash"], "left_semi").select(*after.vectors.columns))
+    vectors = materialize(vectors, "vectors")
+    if store_roots and config.commit_mode == "last":
+        store_roots(roots)
+    return State(after.cache, vectors, roots, manifest), counts

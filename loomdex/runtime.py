@@ -50,6 +50,7 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     on any single executor.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{scratch_root(spark)}/loomdex-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

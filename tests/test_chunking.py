@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomdex.config import ChunkConfig
 from loomdex.functions import paths, text
-from loomdex.operators.chunking import ast_chunks, gaps, lines
+from loomdex.operators.chunking import ast_chunks, context, gaps, lines
 
 FILE = "project_id string, relative_path string, content string, language_id string"
 
@@ -61,9 +61,12 @@ def test_python_syntax():
     found = ast_chunks.extract(code, "python", ChunkConfig(min_chunk=10))
     assert [(c["type"], c["name"], c["line_start"], c["line_end"]) for c in found] == [("function", None, 3, 5), ("class", "C", 8, 10)]
     assert found[0]["text"].startswith("@dec")
-    # A class that is too small to be a chunk is searched; one that is too large gives its methods.
+    # A decorated definition that is too large gives the function below it; a class stays whole, since its methods stand in its body.
     large = ast_chunks.extract(code, "python", ChunkConfig(min_chunk=10, max_chunk=30))
-    assert [(c["name"], c["parent"]) for c in large if c["line_start"] >= 8] == [("m", "C")]
+    assert [(c["type"], c["name"], c["line_start"]) for c in large] == [("function", "f", 4), ("class", "C", 8)]
+    # One that is too small to be a chunk is searched.
+    small = ast_chunks.extract("class C:\n    def m(self): pass\n", "python", ChunkConfig(min_chunk=20, max_chunk=30))
+    assert [(c["name"], c["parent"]) for c in small] == [("C", None)]
     assert ast_chunks.extract("def (:", "python") == []
 
 
@@ -82,6 +85,60 @@ def test_bracket_syntax():
     assert ast_chunks.extract("class X {}", "java") == []
 
 
+def test_signatures_and_arrows():
+    """Parameters are cut at commas outside of brackets; return types, arrow functions and nested struct types are seen."""
+    one = lambda code, language: ast_chunks.extract(code, language, ChunkConfig(min_chunk=5))[0]
+    ts = one("function h(a: Map<string, number>, b: (x: number) => void): string {\n  return 'x)';\n}\n", "typescript")
+    assert (ts["parameters"], ts["returns"]) == (["a: Map<string, number>", "b: (x: number) => void"], ": string")
+    ts = one("export async function f(a = (1, 2)): Promise<{a: string}> {\n  return {a: `}`};\n}\nfoo();\n", "typescript")
+    assert (ts["type"], ts["name"], ts["line_end"]) == ("block", "f", 3)
+    arrow = one("app.get('/x', async (req, res) => {\n  res.send(/[{]/.test(1));\n});\n", "javascript")
+    assert (arrow["type"], arrow["parameters"], arrow["is_async"], arrow["line_end"]) == ("function", ["req", "res"], True, 3)
+    const = ast_chunks.extract("const { a, b } = require('x');\nconst f = (x) => {\n  return x;\n};\n", "javascript", ChunkConfig(min_chunk=5))
+    assert [(c["type"], c["name"], c["line_start"], c["line_end"]) for c in const] == [("block", None, 1, 1), ("block", None, 2, 4)]
+    go = ast_chunks.extract("var c = struct {\n\tb int\n}{b: 1}\nfunc (p *P) Get(a int, f func(x, y int) int) (int, error) {\n\treturn 1, nil\n}\n", "go", ChunkConfig(min_chunk=5))
+    assert [(c["type"], c["name"], c["parameters"]) for c in go] == [("block", None, None), ("method", "Get", ["a int", "f func(x, y int) int"])]
+    rust = one("pub fn add<'a, T: Into<i32>>(a: &'a str, b: (i32, T)) -> Result<i32, Error> where T: X {\n  a\n}\n", "rust")
+    assert (rust["parameters"], rust["returns"]) == (["a: &'a str", "b: (i32, T)"], "Result<i32, Error>")
+    py = one('def f(a, /, b: int = (1, 2), *args, c="x,(", **kw) -> dict[str, int]:\n    return a\n', "python")
+    assert (py["parameters"], py["returns"]) == (["a", "/", "b: int = (1, 2)", "*args", 'c="x,("', "**kw"], "dict[str, int]")
+
+
+def test_source_trees():
+    """Small modules as people write them: what their grammar's nodes are, written down by hand from the texts."""
+    module = (
+        "import { a } from './a';\n\nexport interface User {\n  id: string;\n  name: string;\n}\n\n"
+        "export async function login(name: string, password: string): Promise<User | null> {\n  if (!name) {\n    return null;\n  }\n  return { id: '1', name };\n}\n\n"
+        "export class Service<T extends { id: string }> {\n  private users: Map<string, User> = new Map();\n\n  constructor(private readonly url: string) {}\n\n"
+        "  async get(id: string): Promise<User | undefined> {\n    return this.users.get(id);\n  }\n}\n\nexport const config = {\n  retries: 3,\n};\n\nenum Level {\n  Low,\n  High,\n}\n"
+    )
+    found = ast_chunks.extract(module, "typescript", ChunkConfig(min_chunk=20))
+    assert [(c["type"], c["name"], c["line_start"], c["line_end"]) for c in found] == [
+        ("block", "User", 3, 6), ("block", "login", 8, 13), ("block", "Service", 15, 23), ("block", None, 25, 27), ("enum", "Level", 29, 32),
+    ]
+    split = ast_chunks.extract(module, "typescript", ChunkConfig(min_chunk=20, max_chunk=100))
+    login = next(c for c in split if c["name"] == "login")
+    assert (login["type"], login["exported"], login["is_async"], login["returns"], login["parent"]) == ("function", True, True, ": Promise<User | null>", "login")
+
+
+def test_methods_of_classes(spark):
+    code = "class A {\n  one(x) {\n    return 1;\n  }\n\n  async two() { return 2; }\n}"
+    python = "class B:\n    def m(self):\n        return 1\n"
+    schema = "project_id string, relative_path string, language_id string, type string, name string, line_start int, text string"
+    rows = [("p", "a.js", "javascript", "class", "A", 10, code), ("p", "b.py", "python", "class", "B", 3, python), ("p", "c.js", "javascript", "function", "f", 1, "function f() {}")]
+    found = context.methods_of_classes(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.relative_path, r.name, r.parent, r.line_start, r.line_end) for r in found) == [("a.js", "one", "A", 11, 13), ("a.js", "two", "A", 15, 15), ("b.py", "m", "B", 4, 5)]
+
+
+def test_long_files_are_cut_in_linear_time(spark):
+    """60,000 lines give 1,500 windows; each offset is that of the whole text before."""
+    content = "\n".join(f"line {i}" for i in range(60_000))
+    found = lines.line_windows(as_files(spark, [content]), ChunkConfig(min_chunk=5)).select("line_start", "char_start", "char_end", "text").collect()
+    assert len(found) == 1500
+    for r in found[:: 100]:
+        assert content[r.char_start : r.char_end] == r.text and content.count("\n", 0, r.char_start) == r.line_start - 1
+
+
 def test_files_fall_back(spark):
     body = "def f():\n    return 'a long enough body of a function'\n\n" + "# a gap that is long enough to be kept\n" * 3
     rows = [("p", "a.py", body, "python"), ("p", "b.py", "not ( python at all, but long enough", "python"), ("p", "c.java", "class X { int a; } // long enough", "java")]
