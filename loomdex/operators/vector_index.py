@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -11,9 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdex.config import EngineConfig
-from loomdex.functions.hashing import vector_id
-from loomdex.functions.vectors import cosine, is_zero
+from loomdex.functions.hashing import hash_of_vector_id, vector_id
+from loomdex.functions.vectors import is_zero
 from loomdex.operators.upsert import latest_by_key
+from loomdex.runtime import BROADCAST_LIMIT_BYTES, ship
 
 
 def to_rows(chunks: DataFrame, full_ids: bool = True) -> DataFrame:
@@ -38,75 +40,106 @@ def delete(index: DataFrame, ids: DataFrame) -> DataFrame:
 
 #: Queries and rows, about, that meet in one task.
 QUERY_BLOCK, ROW_BLOCK = 500, 20_000
+#: Decimals of a score that count in ranking, since sums in another order differ beyond them, and that are returned.
+RANKED, SHOWN = 12, 6
+
+_FOUND = ["query_id", "id", "score", "mine"]
+
+
+def _best(asked: pd.DataFrame, rows: pd.DataFrame, most: int, exact: bool) -> pd.DataFrame:
+    """The ``most`` best of ``rows(id, key, vec)`` for each of ``asked(query_id, key, vec)``."""
+    found = []
+    for width in sorted(set(asked["vec"].map(len)) & set(rows["vec"].map(len))):
+        q, e = (df[df["vec"].map(len) == width] for df in (asked, rows.sort_values("id")))
+        x, v = (np.stack(df["vec"].to_numpy()).astype(np.float64) for df in (e, q))
+        lengths, asked_lengths = np.sqrt((x * x).sum(axis=1)), np.sqrt((v * v).sum(axis=1))
+        ids, keys = e["id"].to_numpy(), e["key"].to_numpy()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rough = (v @ x.T) / (asked_lengths[:, None] * lengths)
+        for i, (query_id, key) in enumerate(zip(q["query_id"], q["key"], strict=True)):
+            mine = (keys == key) if key is not None else np.zeros(len(keys), bool)
+            of = np.flatnonzero(np.isfinite(rough[i]) & (mine if exact else True))
+            if len(of) > most:
+                of = of[rough[i][of] >= np.partition(rough[i][of], len(of) - most)[len(of) - most] - 1e-9]
+            # Summed row by row in one order, so that equal vectors score alike anywhere.
+            s = np.round((x[of] * v[i]).sum(axis=1) / (lengths[of] * asked_lengths[i]), RANKED) + 0.0
+            first = np.argsort(-s, kind="stable")[:most]
+            found.append(pd.DataFrame({"query_id": query_id, "id": ids[of[first]], "score": s[first], "mine": mine[of[first]].astype(bool)}))
+    return pd.concat(found).astype({"query_id": object, "id": object}) if found else pd.DataFrame({c: [] for c in _FOUND}, dtype=object)
+
+
+def _cut(found: pd.DataFrame, most: int) -> pd.DataFrame:
+    return found.sort_values(["score", "id"], ascending=[False, True], kind="stable").groupby("query_id", sort=False).head(most)
 
 
-def _best_of(most: int, exact: bool):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """The best rows of a block for each query of a block."""
-        found = []
-        for _, part in rows.groupby(rows["vec"].map(len), sort=False):
-            asked = part["asked"].to_numpy()
-            q, e = part[asked], part[~asked].sort_values("id")
-            if q.empty or e.empty:
-                continue
-            vectors = np.stack(e["vec"].to_numpy()).astype(np.float64)
-            lengths = np.sqrt((vectors * vectors).sum(axis=1))
-            ids, keys = e["id"].to_numpy(), e["key"].to_numpy()
-            for query_id, key, vec in zip(q["query_id"], q["key"], q["vec"], strict=True):
-                v = np.asarray(vec, np.float64)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    s = vectors @ v / (lengths * np.sqrt(v @ v))
-                s = np.sign(s) * np.floor(np.abs(s) * 1e6 + 0.5) / 1e6 + 0.0
-                mine = (keys == key) if key is not None else np.zeros(len(keys), bool)
-                of = np.flatnonzero(np.isfinite(s) & mine if exact else np.isfinite(s))
-                of = of[np.argsort(-s[of], kind="stable")[:most]]
-                found.append(pd.DataFrame({"query_id": query_id, "id": ids[of], "score": s[of], "mine": mine[of].astype(bool)}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "score": [], "mine": []})
-
-    return run
+def search_all(index: DataFrame, queries: DataFrame, k: int | None = None, config: EngineConfig = EngineConfig(), tenant: tuple[str, ...] = ("user_id", "project_id")) -> DataFrame:
+    """``(query_id, rank, id, score)`` of any number of ``queries(query_id, vector, <tenant columns>)``.
 
+    In ``exact`` mode rows of other tenants are filtered before ranking; in ``faithful`` mode the min(3k, 20) best of all
+    tenants are taken first, so that fewer than k may be left. Cosines are ranked at 12 decimals, ties going to the smaller id,
+    and returned to 6. A zero vector has no result and is none; a null tenant has none.
 
-def search_all(index: DataFrame, queries: DataFrame, k: int | None = None, config: EngineConfig = EngineConfig(), tenant: tuple[str, ...] = ("user_id", "project_id")) -> DataFrame:
-    """As :func:`search`, for any number of ``queries(query_id, vector, <tenant columns>)``: blocks of them meet blocks of all rows."""
+    Queries whose size was checked are sent to all tasks, and the index is scanned once; of more, blocks meet blocks of all rows.
+    """
+    ship(index.sparkSession)
     k = config.top_k if k is None else k
     exact = config.search_mode == "exact"
     most = k if exact else min(config.over_fetch * k, config.top_k_cap)
-    n_queries, n_rows = (max(1, math.ceil(df.count() / size)) for df, size in ((queries, QUERY_BLOCK), (index, ROW_BLOCK)))
     whole = reduce(lambda a, b: a & b, [F.col(t).isNotNull() for t in tenant])
     key = F.when(whole, F.to_json(F.struct(*[F.col(t).cast("string").alias(t) for t in tenant]))).alias("key")
-    kind = dict(queries.dtypes)["query_id"]
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    kind, sound = dict(queries.dtypes)["query_id"], "vec is not null and not exists(vec, v -> v is null)"
     vec = lambda c: F.col(c).cast("array<double>").alias("vec")
-    asked = queries.select("query_id", F.lit(None).cast("string").alias("id"), key, vec("vector"), F.lit(True).alias("asked"), F.pmod(F.xxhash64("query_id"), F.lit(n_queries)).cast("int").alias("x"), every(n_rows).alias("y"))
-    met = index.select(F.lit(None).cast(kind).alias("query_id"), "id", key, vec("embedding"), F.lit(False).alias("asked"), every(n_queries).alias("x"), F.pmod(F.xxhash64("id"), F.lit(n_rows)).cast("int").alias("y"))
-    rows = asked.union(met).where("vec is not null and not exists(vec, v -> v is null)")
-    rows = rows.withColumn("query_id", F.col("query_id").cast("string"))
-    best = rows.groupBy("x", "y").applyInPandas(_best_of(most, exact), "query_id string, id string, score double, mine boolean")
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), key, vec("vector")).where(sound)
+    rows = index.select("id", key, vec("embedding")).where(sound)
+    schema = "query_id string, id string, score double, mine boolean"
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("vec")), F.lit(0)).alias("numbers")).first()
+    if 64 * size["n"] + 8 * size["numbers"] <= BROADCAST_LIMIT_BYTES:
+        sent = index.sparkSession.sparkContext.broadcast(asked.toPandas())
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = pd.DataFrame({c: [] for c in _FOUND}, dtype=object)
+            for batch in batches:
+                met = _best(sent.value, batch, most, exact)
+                best = _cut(met if best.empty else pd.concat([best, met]), most)
+            yield best
+
+        best = rows.mapInPandas(scan, schema)
+    else:
+        n_queries, n_rows = max(1, math.ceil(size["n"] / QUERY_BLOCK)), max(1, math.ceil(index.count() / ROW_BLOCK))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        a = asked.select("query_id", F.lit(None).cast("string").alias("id"), "key", "vec", block("query_id", n_queries).alias("x"), every(n_rows).alias("y"))
+        b = rows.select(F.lit(None).cast("string").alias("query_id"), "id", "key", "vec", every(n_queries).alias("x"), block("id", n_rows).alias("y"))
+
+        def meet(both: pd.DataFrame) -> pd.DataFrame:
+            of = both["id"].isna()
+            return _best(both[of], both[~of], most, exact)
+
+        best = a.union(b).groupBy("x", "y").applyInPandas(meet, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    best = best.withColumn("r", F.row_number().over(order)).where((F.col("r") <= most) & F.col("mine"))
+    best = best.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).where("mine")
     best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.select(F.col("query_id").cast(kind).alias("query_id"), "rank", "id", "score")
+    return best.select(F.col("query_id").cast(kind).alias("query_id"), "rank", "id", F.round("score", SHOWN).alias("score"))
 
 
 def search(index: DataFrame, queries: list[dict], k: int | None = None, config: EngineConfig = EngineConfig(), tenant: tuple[str, ...] = ("user_id", "project_id")) -> DataFrame:
-    """``(query_id, rank, id, score)`` of each of a few queries ``{query_id, vector, <tenant columns>}``.
+    """As :func:`search_all`, for a list of queries ``{query_id, vector, <tenant columns>}``."""
+    kinds = {"query_id": "long" if all(isinstance(q["query_id"], int) for q in queries) else "string", **{t: dict(index.dtypes)[t] for t in tenant}}
+    name = int if kinds["query_id"] == "long" else str
+    rows = [(name(q["query_id"]), [float(v) for v in q["vector"]], *[q[t] for t in tenant]) for q in queries]
+    schema = f"query_id {kinds['query_id']}, vector array<double>, " + ", ".join(f"{t} {kinds[t]}" for t in tenant)
+    return search_all(index, index.sparkSession.createDataFrame(rows, schema), k, config, tenant)
+
 
-    Each query is a scan with a heap of its best rows in every task. In ``exact`` mode rows of other tenants
-    are filtered before; in ``faithful`` mode the min(3k, 20) best of all tenants are taken first, so that
-    fewer than k may be left. Ties go to the smaller id. A zero query has no result.
+#: What a search tells of a chunk besides its place and score, where the index has it.
+DETAILS = ("hash", "summary", "type", "name", "language_id", "line_start", "line_end", "relative_path")
+
+
+def with_details(found: DataFrame, index: DataFrame) -> DataFrame:
+    """``found(query_id, rank, id, score)`` with what the index knows of each chunk: summary, type, name, language, lines and file.
+
+    The hash is the index's, else the part of the id that stands for it; '' is no name.
     """
-    k = config.top_k if k is None else k
-    parts = []
-    for q in queries:
-        vector = F.lit([float(v) for v in q["vector"]])
-        scored = index.select("id", *tenant, F.round(cosine(F.col("embedding"), vector), 6).alias("score")).where("score is not null")
-        mine = reduce(lambda a, b: a & b, [F.col(t) == F.lit(q[t]) for t in tenant])
-        best = [F.desc("score"), F.asc("id")]
-        if config.search_mode == "exact":
-            found = scored.where(mine).orderBy(*best).limit(k)
-        else:
-            found = scored.orderBy(*best).limit(min(config.over_fetch * k, config.top_k_cap)).where(mine).orderBy(*best).limit(k)
-        top = found.agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))).alias("top"))  # k rows
-        ranked = top.select(F.lit(q["query_id"]).cast("long" if isinstance(q["query_id"], int) else "string").alias("query_id"), F.posexplode("top").alias("p", "m"))
-        parts.append(ranked.select("query_id", (F.col("p") + 1).alias("rank"), F.col("m.id").alias("id"), (-F.col("m.s")).alias("score")))
-    return reduce(DataFrame.unionByName, parts)
+    known = from_rows(index) if "name" in index.columns else index
+    told = found.join(known.select("id", *[c for c in DETAILS if c in index.columns]), "id")
+    return told if "hash" in told.columns else told.withColumn("hash", hash_of_vector_id(F.col("id")))
