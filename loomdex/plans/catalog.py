@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomdex.config import ChunkConfig, EngineConfig
 from loomdex.functions import hashing, paths, requests, text
@@ -16,7 +15,7 @@ from loomdex.operators.chunking import ast_chunks as syntax
 from loomdex.operators.chunking import context, gaps, lines
 from loomdex.operators.ranking import with_positions
 from loomdex.plans import adapters as on
-from loomdex.runtime import materialize
+from loomdex.runtime import materialize, ship
 from loomdex.sources import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,8 +165,7 @@ def page_chunks(spark, d):
 
 @query(f"WITH {FILES}, {SMALL} SELECT project_id, relative_path, line_start, char_start, char_end, (line_end - line_start + 1)::INTEGER AS line_count FROM chunks")
 def chunk_offsets(spark, d):
-    count = (F.col("line_end") - F.col("line_start") + 1).alias("line_count")
-    return on.chunks(spark, d).select("project_id", "relative_path", "line_start", "char_start", "char_end", count)
+    return on.chunks(spark, d).select("project_id", "relative_path", "line_start", "char_start", "char_end", lines.line_count().alias("line_count"))
 
 
 @query(f"""WITH {FILES}, {SMALL} SELECT project_id, relative_path, hash, line_start, sha256(raw) AS code_hash, sha256(raw) = hash AS trimmed_alike FROM chunks""")
@@ -222,13 +220,38 @@ def neighbour_context(spark, d):
 
 @query(f"WITH {FILES}, {SMALL} SELECT relative_path, list(hash ORDER BY line_start) AS payload, count(*) AS n FROM chunks GROUP BY relative_path")
 def file_payload(spark, d):
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_start", "hash"))), lambda s: s["hash"])
-    return on.chunks(spark, d).groupBy("relative_path").agg(ordered.alias("payload"), F.count("*").alias("n"))
-
-
-@query()
+    return lines.file_payload(on.chunks(spark, d)).drop("project_id")
+
+
+_LINE = "chr(10)"
+
+
+@query(f"""WITH {FILES}, p AS (SELECT project_id, relative_path, content, doc_id, doc_id % 5 AS k,
+  regexp_replace(translate(content, {WS}, '      '), '[^A-Za-z ]', '', 'g') AS prose FROM files),
+py AS (SELECT *, 'import os' || {_LINE} || {_LINE} || '# ' || prose || {_LINE} || {_LINE} AS a, '@cached' || {_LINE} AS deco,
+  'def f' || doc_id || '(a, b=1):' || {_LINE} || '    ''''''' || prose || '''''''' || {_LINE} || '    return a' AS f,
+  'class Cf' || doc_id || ':' || {_LINE} || '    def one(self):' || {_LINE} || '        return ''' || prose || '''' AS c FROM p WHERE k < 2),
+ts AS (SELECT *, 'import x from ''y'';' || {_LINE} || '// ' || prose || {_LINE} AS a,
+  'async function f' || doc_id || '(a: string, b: number): string {{' || {_LINE} || '  // ' || prose || {_LINE} || '  return `${{a}} {{`;' || {_LINE} || '}}' AS f,
+  'class Kf' || doc_id || ' {{' || {_LINE} || '  run(a) {{' || {_LINE} || '    return "' || prose || '";' || {_LINE} || '  }}' || {_LINE} || '}}' AS c FROM p WHERE k IN (2, 3)),
+one AS (
+  SELECT project_id, relative_path, 'python' AS language_id, CASE WHEN length(deco || f) <= 8000 THEN deco || f ELSE f END AS t, 'function' AS type,
+    CASE WHEN length(deco || f) > 8000 THEN 'f' || doc_id END AS name, CASE WHEN length(deco || f) <= 8000 THEN 5 ELSE 6 END AS line_start, 8 AS line_end,
+    length(a) + CASE WHEN length(deco || f) <= 8000 THEN 0 ELSE length(deco) END AS char_start, false AS gap_fill FROM py
+  UNION ALL SELECT project_id, relative_path, 'python', c, 'class', 'Cf' || doc_id, 11, 13, length(a || deco || f) + 3, false FROM py
+  UNION ALL SELECT project_id, relative_path, 'python', left(a, -1) || CASE WHEN length(deco || f) <= 8000 THEN '' ELSE {_LINE} || '@cached' END, 'block', NULL, 1,
+    CASE WHEN length(deco || f) <= 8000 THEN 4 ELSE 5 END, 0, true FROM py
+  UNION ALL SELECT project_id, relative_path, 'typescript', CASE WHEN length(f) + 7 <= 8000 THEN 'export ' || f ELSE f END, CASE WHEN length(f) + 7 <= 8000 THEN 'block' ELSE 'function' END,
+    'f' || doc_id, 3, 6, length(a) + CASE WHEN length(f) + 7 <= 8000 THEN 0 ELSE 7 END, false FROM ts
+  UNION ALL SELECT project_id, relative_path, 'typescript', c, 'class', 'Kf' || doc_id, 8, 12, length(a || f) + 7 + 2, false FROM ts
+  UNION ALL SELECT project_id, relative_path, 'typescript', left(a, -1), 'block', NULL, 1, 2, 0, true FROM ts),
+sized AS (SELECT *, CASE WHEN gap_fill THEN trim(t, {WS}) ELSE t END AS body FROM one),
+{windows_sql(50, 40, "(SELECT project_id, relative_path, content FROM p WHERE k = 4)", "plain", 20)}
+SELECT project_id, relative_path, sha256(body) AS hash, type, name, language_id, line_start::INTEGER AS line_start, line_end::INTEGER AS line_end, char_start::INTEGER AS char_start,
+  (char_start + length(t))::INTEGER AS char_end, length(body)::INTEGER AS char_count, gap_fill, false AS fallback FROM sized WHERE length(body) >= 20
+UNION ALL SELECT project_id, relative_path, hash, 'block', NULL, 'python', line_start, line_end, char_start, char_end, char_count, false, true FROM plain""")
 def ast_chunks(spark, d):
-    return syntax.chunk_files(syntax.sample_sources(on.files(spark, d)), ChunkConfig(min_chunk=20))
+    return syntax.chunk_files(syntax.sample_sources(on.files(spark, d)), ChunkConfig(min_chunk=20)).drop("text")
 
 
 # Merkle trees ---------------------------------------------------------------------------------------
@@ -285,10 +308,7 @@ a AS (SELECT DISTINCT project_id, hash FROM chunks), b AS (SELECT DISTINCT proje
 SELECT project_id, hash, CASE WHEN a.hash IS NULL THEN 'added' WHEN b.hash IS NULL THEN 'removed' ELSE 'unchanged' END AS status
 FROM (SELECT project_id, hash FROM a UNION SELECT project_id, hash FROM b) LEFT JOIN a USING (project_id, hash) LEFT JOIN b USING (project_id, hash)""")
 def chunk_diff(spark, d):
-    old = on.chunks(spark, d).select("project_id", "hash").distinct().withColumn("o", F.lit(True))
-    new = lines.line_windows(on.snapshot(spark, d), on.SMALL).select("project_id", "hash").distinct().withColumn("n", F.lit(True))
-    status = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").otherwise("unchanged")
-    return old.join(new, ["project_id", "hash"], "full_outer").select("project_id", "hash", status.alias("status"))
+    return merkle.chunk_diff(on.chunks(spark, d), lines.line_windows(on.snapshot(spark, d), on.SMALL))
 
 
 # Caches and synchronisation -------------------------------------------------------------------------
@@ -389,52 +409,66 @@ def cache_ttl(spark, d):
     return found.withColumn("expires_at", F.col("expires_at").cast("timestamp_ntz"))
 
 
-@query(f"""WITH {_SYNC} SELECT c.hash, CASE WHEN c.hash IN (SELECT hash FROM chunks WHERE project_id < 'src2') AND expires_at > TIMESTAMP '{AS_OF}'
+@query(f"""WITH {_SYNC} SELECT c.hash, CASE WHEN c.hash IN (SELECT hash FROM chunks) AND expires_at > TIMESTAMP '{AS_OF}'
   THEN TIMESTAMP '{AS_OF}' + INTERVAL 30 DAY ELSE expires_at END AS expires_at FROM cached c""")
 def cache_refresh(spark, d):
-    seen = on.chunks(spark, d).where("project_id < 'src2'")
+    seen = on.chunks(spark, d)
     found = cache.refresh(on.cached_hashes(spark, d), seen, cache.literal_time(AS_OF), EngineConfig().hash_ttl_days)
     return found.withColumn("expires_at", F.col("expires_at").cast("timestamp_ntz"))
 
 
-@query(f"""WITH {_SYNC}, new AS (SELECT DISTINCT hash FROM chunks WHERE project_id < 'src2')
+@query(f"""WITH {_SYNC}, new AS (SELECT DISTINCT hash FROM chunks)
 SELECT hash, TIMESTAMP '{AS_OF}' + INTERVAL 90 DAY AS expires_at FROM new UNION ALL SELECT hash, expires_at FROM cached WHERE hash NOT IN (SELECT hash FROM new)""")
 def cache_put(spark, d):
-    new = on.chunks(spark, d).where("project_id < 'src2'").select("hash").distinct()
+    new = on.chunks(spark, d).select("hash").distinct()
     found = cache.put(on.cached_hashes(spark, d), new, cache.literal_time(AS_OF), EngineConfig().embedding_ttl_days)
     return found.withColumn("expires_at", F.col("expires_at").cast("timestamp_ntz"))
 
 
 @query(f"WITH {_SYNC} SELECT project_id, round(avg((hash IN (SELECT hash FROM cached))::INTEGER), 6) AS hit_rate FROM chunks GROUP BY project_id")
 def hit_rate(spark, d):
-    hits = cache.with_hits(on.chunks(spark, d), on.cached_hashes(spark, d))
-    return hits.groupBy("project_id").agg(F.round(F.avg(F.col("hit").cast("int")), 6).alias("hit_rate"))
+    return cache.hit_rate(cache.with_hits(on.chunks(spark, d), on.cached_hashes(spark, d)), ["project_id"])
 
 
 @query(f"WITH {_SYNC} SELECT project_id, round(100.0 * sum((hash IN (SELECT hash FROM cached))::INTEGER)::DOUBLE / count(*), 1) AS saved FROM chunks GROUP BY project_id")
 def bandwidth_savings(spark, d):
-    hits = cache.with_hits(on.chunks(spark, d), on.cached_hashes(spark, d))
-    share = 100.0 * F.count_if("hit") / F.nullif(F.count("*"), F.lit(0))
-    return hits.groupBy("project_id").agg(F.round(share, 1).alias("saved"))
+    return cache.savings(cache.with_hits(on.chunks(spark, d), on.cached_hashes(spark, d)), ["project_id"])
 
 
 @query(f"""WITH {_SYNC}, j AS (SELECT *, hash IN (SELECT hash FROM cached) AS hit FROM chunks)
 SELECT count(*) AS received, count(*) FILTER (hit) AS cached, count(*) FILTER (NOT hit) AS sent, count(DISTINCT project_id) AS projects,
   'synced ' || count(*) || ' chunks' AS message FROM j""")
 def sync_summary(spark, d):
-    hits = cache.with_hits(on.chunks(spark, d), on.cached_hashes(spark, d))
-    message = F.concat(F.lit("synced "), F.count("*").cast("string"), F.lit(" chunks"))
-    return hits.agg(F.count("*").alias("received"), F.count_if("hit").alias("cached"), F.count_if(~F.col("hit")).alias("sent"), F.count_distinct("project_id").alias("projects"), message.alias("message"))
+    return cache.summary(cache.with_hits(on.chunks(spark, d), on.cached_hashes(spark, d)))
 
 
 @query(f"""WITH {FILES}, {SMALL} SELECT 'user-' || project_id AS user_id, project_id, count(*) AS received, count(*) AS processed, 0::BIGINT AS hits,
   count(DISTINCT hash) AS stored, 'indexed' AS status FROM chunks GROUP BY project_id""")
 def full_sync(spark, d):
     files = on.files(spark, d).withColumn("user_id", F.concat(F.lit("user-"), F.col("project_id")))
-    empty = spark.createDataFrame([], "hash string, summary string, embedding array<float>, expires_at timestamp")
-    roots = spark.createDataFrame([], "user_id string, project_id string, root string")
     config = EngineConfig(chunks=on.SMALL, dimensions=64)
-    return sync.sync(files.drop("doc_id"), sync.State(empty, None, roots), cache.literal_time(AS_OF), 1, config)[1]
+    return sync.sync(files.drop("doc_id"), _no_state(spark), cache.literal_time(AS_OF), 1, config)[1]
+
+
+def _no_state(spark):
+    empty = spark.createDataFrame([], "hash string, summary string, embedding array<float>, expires_at timestamp")
+    return sync.State(empty, None, spark.createDataFrame([], "user_id string, project_id string, root string"))
+
+
+@query(f"""WITH RECURSIVE {FILES}, own AS (SELECT 'u' || (doc_id % 3) AS user_id, project_id, relative_path, content FROM files), {windows_sql(8, 6, "(SELECT user_id, project_id, relative_path, content FROM own)", "mine").replace("SELECT project_id, relative_path, sha256", "SELECT user_id, project_id, relative_path, sha256")},
+tree AS (
+  SELECT user_id, project_id, list(sha256(relative_path || content) ORDER BY relative_path) AS h FROM own GROUP BY user_id, project_id
+  UNION ALL
+  SELECT user_id, project_id, list_transform(range(0, (len(h) + 1) // 2), lambda i: CASE WHEN 2 * i + 2 <= len(h) THEN sha256(h[2 * i + 1] || h[2 * i + 2]) ELSE h[2 * i + 1] END)
+  FROM tree WHERE len(h) > 1)
+SELECT user_id, project_id, 'vector' AS kind, user_id || '_' || project_id || '_' || hash AS id, last(relative_path ORDER BY relative_path, line_start) AS relative_path FROM mine GROUP BY user_id, project_id, hash
+UNION ALL SELECT user_id, project_id, 'root', h[1], NULL FROM tree WHERE len(h) = 1""")
+def sync_tenants(spark, d):
+    """Three users that share all project ids: their vectors, files and roots stay their own."""
+    files = on.files(spark, d).withColumn("user_id", F.concat(F.lit("u"), (F.col("doc_id") % 3).cast("string"))).drop("doc_id")
+    state, _ = sync.sync(files, _no_state(spark), cache.literal_time(AS_OF), 1, EngineConfig(chunks=on.SMALL, dimensions=64))
+    vectors = state.vectors.select("user_id", "project_id", F.lit("vector").alias("kind"), "id", "relative_path")
+    return vectors.unionByName(state.roots.select("user_id", "project_id", F.lit("root").alias("kind"), F.col("root").alias("id"), F.lit(None).cast("string").alias("relative_path")))
 
 
 # Vectors and search ---------------------------------------------------------------------------------
@@ -455,15 +489,16 @@ def zero_filter(spark, d):
     return on.vectors(spark, d).select("vec_id", is_zero(made).alias("zero"))
 
 
-@query("""WITH b AS (SELECT vec_id, label, 1 AS version, embedding[1]::DOUBLE AS head FROM embeddings
-  UNION ALL SELECT vec_id, label + 100, 2, -embedding[1]::DOUBLE FROM embeddings WHERE vec_id % 3 = 0)
-SELECT vec_id, arg_max(label, version) AS tenant, max(version)::INTEGER AS version, round(arg_max(head, version), 6) AS head FROM b GROUP BY vec_id""")
+@query("""WITH b AS (SELECT vec_id, label, 1 AS version, embedding AS v FROM embeddings
+  UNION ALL SELECT vec_id, label + 100, 2, list_transform(embedding, lambda x: -x) FROM embeddings WHERE vec_id % 3 = 0)
+SELECT vec_id, arg_max(label, version) AS tenant, max(version)::INTEGER AS version, list_transform(arg_max(v, version), lambda x: round(x::DOUBLE, 6) + 0.0) AS embedding
+FROM b GROUP BY vec_id""")
 def vector_upsert(spark, d):
     old = on.vectors(spark, d).withColumn("version", F.lit(1)).withColumn("seq", F.col("vec_id"))
     negated = F.transform("embedding", lambda v: -v)
     new = old.where("vec_id % 3 = 0").withColumn("version", F.lit(2)).withColumn("tenant", F.col("tenant") + 100).withColumn("embedding", negated)
-    head = F.round(F.get("embedding", F.lit(0)).cast("double"), 6)
-    return vector_index.upsert(old, new).select("vec_id", "tenant", "version", head.alias("head"))
+    shown = F.transform("embedding", lambda v: F.round(v.cast("double"), 6) + F.lit(0.0))
+    return vector_index.upsert(old, new).select("vec_id", "tenant", "version", shown.alias("embedding"))
 
 
 @query("SELECT vec_id, label AS tenant FROM embeddings WHERE vec_id % 4 <> 0")
@@ -472,37 +507,57 @@ def vector_delete(spark, d):
     return vector_index.delete(rows, rows.where("vec_id % 4 = 0")).select("vec_id", "tenant")
 
 
-_QUERY_IDS = (0, 1, 2, 3, 5)
-_SCORES = f"""s AS (SELECT q.vec_id AS query_id, q.label AS qt, lpad(e.vec_id::VARCHAR, 10, '0') AS id, e.label AS tenant,
-  round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
-  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id IN {_QUERY_IDS}) q)"""
+#: Queries are all rows whose id is divisible by 50, against all rows. Cosines are ranked at 12 decimals and shown to 6.
+_SCORES = """s AS (SELECT q.vec_id AS query_id, q.label AS qt, lpad(e.vec_id::VARCHAR, 10, '0') AS id, e.label AS tenant,
+  round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 12) AS score
+  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q)"""
 
 
 def _search(spark, d, mode: str, k: int):
     rows = on.vectors(spark, d)
-    queries = rows.where(F.col("vec_id").isin(*_QUERY_IDS)).select(F.col("vec_id").alias("query_id"), "tenant", F.col("embedding").alias("vector"))
+    queries = rows.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "tenant", F.col("embedding").alias("vector"))
     return vector_index.search_all(rows, queries, k, EngineConfig(search_mode=mode), ("tenant",))
 
 
-@query(f"""WITH {_SCORES} SELECT query_id, rank, id, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS rank
+@query(f"""WITH {_SCORES} SELECT query_id, rank, id, round(score, 6) AS score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS rank
   FROM s WHERE tenant = qt) WHERE rank <= 10""")
 def search_exact(spark, d):
     return _search(spark, d, "exact", 10)
 
 
 @query(f"""WITH {_SCORES}, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM s)
-SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS rank, id, score FROM top WHERE r <= 20 AND tenant = qt""")
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS rank, id, round(score, 6) AS score FROM top WHERE r <= 20 AND tenant = qt""")
 def search_postfilter(spark, d):
     return _search(spark, d, "faithful", 20)
 
 
 @query(f"""WITH {_SCORES}, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM s),
 k AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS rank FROM top WHERE r <= 9 AND tenant = qt)
-SELECT query_id, rank, id, score FROM k WHERE rank <= 3""")
+SELECT query_id, rank, id, round(score, 6) AS score FROM k WHERE rank <= 3""")
 def search_ranked(spark, d):
     return _search(spark, d, "faithful", 3)
 
 
+_INDEXED = f"""{FILES}, {SMALL}, rows AS (SELECT *, list_transform(range(1, 9), lambda i: (strpos('0123456789abcdef', substr(hash, i, 1)))::DOUBLE) AS v FROM chunks),
+indexed AS (SELECT project_id, hash, last(relative_path ORDER BY relative_path, line_start) AS relative_path, last(line_start ORDER BY relative_path, line_start) AS line_start,
+  last(line_end ORDER BY relative_path, line_start) AS line_end, any_value(v) AS v FROM rows GROUP BY project_id, hash)"""
+
+
+@query(f"""WITH {_INDEXED}, q AS (SELECT f.doc_id AS query_id, c.project_id, c.v FROM rows c JOIN files f USING (relative_path) WHERE c.line_start = 1 AND f.doc_id % 50 = 0),
+s AS (SELECT query_id, e.*, round(list_cosine_similarity(q.v, e.v), 12) AS score FROM q JOIN indexed e USING (project_id)),
+k AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hash))::INTEGER AS rank FROM s)
+SELECT query_id, rank, 'u1_' || project_id || '_' || hash AS id, round(score, 6) AS score, hash, 'of ' || hash AS summary, 'block' AS type, CAST(NULL AS VARCHAR) AS name, 'text' AS language_id,
+  line_start, line_end, relative_path FROM k WHERE rank <= 10""")
+def search_details(spark, d):
+    vector = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: (F.conv(F.substr("hash", i, F.lit(1)), 16, 10).cast("int") + 1).cast("float"))
+    chunks = on.chunks(spark, d).withColumn("user_id", F.lit("u1")).withColumn("embedding", vector).withColumn("summary", F.concat(F.lit("of "), F.col("hash")))
+    rows = vector_index.to_rows(chunks.withColumn("version", F.lit(1)).withColumn("seq", F.struct("relative_path", "line_start")))
+    index = materialize(vector_index.upsert(rows.limit(0), rows), "index")
+    doc = F.regexp_extract("relative_path", r"(\d+)\.txt$", 1).cast("long")
+    queries = chunks.where("line_start = 1").where(doc % 50 == 0).select(doc.alias("query_id"), "user_id", "project_id", F.col("embedding").alias("vector"))
+    return vector_index.with_details(vector_index.search_all(index, queries, 10), index)
+
+
 @query(f"""WITH {FILES}, {SMALL} SELECT relative_path, line_start, line_end, CAST(NULL AS VARCHAR) AS name, '' AS stored_name FROM chunks""")
 def metadata_round_trip(spark, d):
     flat = on.chunks(spark, d).withColumn("stored_name", F.coalesce("name", F.lit("")))
@@ -536,9 +591,9 @@ def dirty_files(spark, d):
 @query(f"""WITH {_EVENTS}, p AS (SELECT *, lag(event_type) OVER (PARTITION BY project_id, path ORDER BY ts, event_id) AS prev FROM ev WHERE event_type <> 'sync')
 SELECT project_id, path, event_id FROM p WHERE event_type <> 'delete' AND (prev IS NULL OR prev = 'delete')""")
 def create_dedup(spark, d):
-    order = Window.partitionBy("project_id", "path").orderBy("ts", "event_id")
-    seen = on.file_events(spark, d).where("event_type <> 'sync'").withColumn("prev", F.lag("event_type").over(order))
-    return seen.where("event_type <> 'delete' and (prev is null or prev = 'delete')").select("project_id", "path", "event_id")
+    from loomdex.streaming.watch import creations
+
+    return creations(on.file_events(spark, d).where("event_type <> 'sync'")).select("project_id", "path", "event_id")
 
 
 @query(f"""WITH {_EVENTS} SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS window_start, project_id, count(DISTINCT path) AS n_paths, list_sort(list(DISTINCT path)) AS paths
@@ -599,8 +654,19 @@ def summary_parse(spark, d):
     return _responses(spark, d).select("conv_id", "turn", text.parse_summaries(F.col("response"), F.lit(3)).alias("summaries"))
 
 
-@query()
+def _standalone(i: int, before: str) -> str:
+    cut = lambda lines: f"nullif(trim(regexp_replace({lines}[1], '^\\[\\d+\\]\\s*', ''), {WS}), '')"
+    own = cut(f"list_filter(l, lambda x: regexp_matches(x, '^\\[{i}\\]\\s*.+$'))")
+    return f"CASE WHEN length(body) < 10 THEN 'Code chunk' ELSE coalesce({own}, {cut(f'list_filter(l, lambda x: {before})')}, 'Code chunk') END"
+
+
+@query(f"""WITH {_RESPONSE}, b AS (SELECT *, trim(regexp_replace(response, '(?is)<think>.*?</think>', '', 'g'), {WS}) AS body FROM r),
+l AS (SELECT *, list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(x, {WS})), lambda x: x <> '' AND x[1] <> '<') AS l FROM b),
+s1 AS (SELECT *, {_standalone(1, "true")} AS s1 FROM l), s2 AS (SELECT *, {_standalone(2, "NOT contains(x, s1)")} AS s2 FROM s1),
+s3 AS (SELECT *, {_standalone(3, "NOT contains(x, s1) AND NOT contains(x, s2)")} AS s3 FROM s2)
+SELECT conv_id, turn, [s1, s2, s3] AS summaries FROM s3""")
 def summary_parse_standalone(spark, d):
+    ship(spark)
     parse = F.udf(lambda r: text.parse_summaries_standalone(r, 3), "array<string>", useArrow=True)
     return _responses(spark, d).select("conv_id", "turn", parse("response").alias("summaries"))
 
@@ -650,7 +716,7 @@ def request_validation(spark, d):
     return table(spark, d, "documents").select("doc_id", error.alias("error"))
 
 
-@query(f"""WITH {FILES}, {SMALL} SELECT relative_path, line_start, hash, 'text code: ' || left(trim(list_filter(string_split(code, chr(10)), lambda x: regexp_matches(x, '[\\pL\\pN_]'))[1], {WS}), 120) AS summary,
+@query(f"""WITH {FILES}, {SMALL} SELECT relative_path, line_start, hash, 'text code: ' || trim(regexp_replace(code, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') AS summary,
   64 AS dimensions, false AS failed FROM chunks""")
 def summaries_and_embeddings(spark, d):
     chunks = on.chunks(spark, d).withColumnRenamed("text", "code").withColumn("language_id", F.lit("text"))
