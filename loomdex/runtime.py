@@ -59,6 +59,28 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def partitions_for(df: DataFrame, bytes_each: int) -> int:
+    """About how many partitions of so many bytes as stored a table of files makes, 8 to 100,000; of others, by the session's cores."""
+    spark = df.sparkSession
+    if not df.inputFiles():
+        return max(8, spark.sparkContext.defaultParallelism)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(100_000, max(8, -(-size // bytes_each)))
+
+
+def bucketed(df: DataFrame, key: str, n: int, name: str = "table") -> DataFrame:
+    """As :func:`materialize`, in ``n`` buckets by ``key``: rows are shuffled here once, and joins on the key shuffle the other side only."""
+    spark = df.sparkSession
+    ship(spark)
+    path, table = f"{scratch_root(spark)}/loomdex-{uuid.uuid4().hex}/{name}", f"loomdex_{name}_{uuid.uuid4().hex}"
+    shuffled = df.repartition(n, key)
+    shuffled.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(table)
+    out = spark.table(table)
+    out._loomdex_path = path
+    _written.append(path)
+    return out
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of ``materialize`` that nothing reads any more."""
     path = getattr(df, "_loomdex_path", None)
