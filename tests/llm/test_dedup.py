@@ -218,12 +218,52 @@ def test_substrings(docs, rows, empty):
     assert substring_dedup.dedup_substrings(empty).count() == 0
 
 
-def test_substring_masks_by_shuffle(docs, monkeypatch):
-    """Beyond the limit of a broadcast, blocks and masks meet by a shuffle, with the same result."""
+@pytest.mark.parametrize("fan", [16_384, 3])
+def test_substring_factors_are_copies_of_their_places(spark, docs, rows, monkeypatch, fan):
+    """Small blocks and buckets, one round or two: each factor is word by word what stands at its place, in a smaller doc_id."""
     small = sorted(map(str, substring_dedup.dedup_substrings(docs).drop("factors").collect()))
-    monkeypatch.setattr(substring_dedup, "BROADCAST_LIMIT_BYTES", -1)
+    monkeypatch.setattr(substring_dedup, "BLOCK_DOCS", 5)
     monkeypatch.setattr(substring_dedup, "BUCKET_ENTRIES", 10)
-    assert sorted(map(str, substring_dedup.dedup_substrings(docs).drop("factors").collect())) == small
+    monkeypatch.setattr(substring_dedup, "FAN", fan)
+    blocks = substring_dedup.block_table(docs)
+    stored = blocks.collect()
+    words = {r.block: [w for t in r.texts for w in words_of(t)] for r in stored}
+    owner = {r.block: [i for i, t in zip(r.ids, r.texts, strict=True) for _ in words_of(t)] for r in stored}
+    found = substring_dedup.parsed(blocks).collect()
+    assert sorted(str(r) for r in substring_dedup.parsed(blocks).drop("factors").collect()) == small
+    texts = {}
+    for r in rows:
+        texts.setdefault(r[0], []).append(words_of(r[1]))
+    seen = 0
+    for r in found:
+        for f in r.factors:
+            place = words[f["block"]][f["position"] : f["position"] + f["words"]]
+            assert any(t[f["first"] : f["first"] + f["words"]] == place for t in texts[r.doc_id] if len(t) == r.n_words)
+            assert len(place) == f["words"] >= 13
+            assert max(owner[f["block"]][f["position"] : f["position"] + f["words"]]) < (2**63 - 1 if r.doc_id is None else r.doc_id)
+            seen += 1
+        assert sum(f["words"] for f in r.factors) >= r.n_removed
+    assert seen > 10
+
+
+def test_hot_passages(spark, monkeypatch):
+    """A passage in every document, in blocks of a few: all but the first lose it, and nothing else; the parse is greedy."""
+    monkeypatch.setattr(substring_dedup, "BLOCK_DOCS", 3)
+    monkeypatch.setattr(substring_dedup, "FAN", 20)
+    passage = " ".join(f"p{i}" for i in range(40))
+    data = [(n, f"{' '.join(f'd{n}w{i}' for i in range(20))} {passage} {' '.join(f'd{n}v{i}' for i in range(5))}") for n in range(300)]
+    found = {r.doc_id: r for r in substring_dedup.dedup_substrings(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert found[0].n_removed == 0 and all(found[n].n_removed == 40 for n in range(1, 300))
+    assert all([(f["first"], f["words"]) for f in found[n].factors] == [(20, 40)] for n in range(1, 300))
+
+
+def test_windows_across_borders_of_factors(spark):
+    """A text of two halves that stand in two documents, and a border passage that stands in a third."""
+    w = [f"w{i}" for i in range(60)]
+    data = [(1, " ".join(w[:30])), (2, " ".join(w[30:])), (3, " ".join(["x"] + w[23:38])), (4, " ".join(w)), (5, " ".join(w[20:33] + ["y"]))]
+    found = {r.doc_id: r for r in substring_dedup.dedup_substrings(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert [found[i].n_removed for i in (1, 2, 3, 4, 5)] == [0, 0, 0, 60, 13]
+    assert [(f["first"], f["words"]) for f in found[4].factors] == [(0, 30), (23, 15), (30, 30)]
 
 
 def expected_groups(rows):
