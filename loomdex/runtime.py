@@ -5,6 +5,7 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,12 +69,15 @@ def partitions_for(df: DataFrame, bytes_each: int) -> int:
     return min(100_000, max(8, -(-size // bytes_each)))
 
 
-def bucketed(df: DataFrame, key: str, n: int, name: str = "table") -> DataFrame:
-    """As :func:`materialize`, in ``n`` buckets by ``key``: rows are shuffled here once, and joins on the key shuffle the other side only."""
+def bucketed(df: DataFrame, key: str, n: int, name: str = "table", then: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """As :func:`materialize`, in ``n`` buckets by ``key``: rows are shuffled here once, and joins on the key shuffle the other side only.
+
+    ``then`` adds columns to the rows after they were shuffled.
+    """
     spark = df.sparkSession
     ship(spark)
     path, table = f"{scratch_root(spark)}/loomdex-{uuid.uuid4().hex}/{name}", f"loomdex_{name}_{uuid.uuid4().hex}"
-    shuffled = df.repartition(n, key)
+    shuffled = then(df.repartition(n, key))
     shuffled.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(table)
     out = spark.table(table)
     out._loomdex_path = path
