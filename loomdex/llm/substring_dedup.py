@@ -52,17 +52,14 @@ def _joined(parts: list[np.ndarray], kind) -> np.ndarray:
 
 
 def block_table(docs: DataFrame) -> DataFrame:
-    """``(block, ids, none, texts, sizes, hashes, n_chars)``: all documents in blocks, by doc_id within each; hashes of all words."""
-    schema = "block long, ids array<long>, none array<boolean>, texts array<string>, sizes binary, hashes binary, n_chars long"
+    """``(block, ids, none, texts, n_chars, sizes, hashes)``: all documents in blocks, by doc_id within each; hashes of all words."""
+    schema = "block long, ids array<long>, none array<boolean>, texts array<string>, n_chars long"
+    columns = [c.split()[0] for c in schema.split(", ")]
 
     def packed(block: int, held: list[tuple]) -> pd.DataFrame:
         held.sort(key=lambda r: r[0])
         ids, none, texts = zip(*held, strict=True)
-        words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        sizes = np.fromiter(map(len, words), np.int32, len(words))
-        found = hashed(chain.from_iterable(words), int(sizes.sum()))
-        row = (block, list(ids), list(none), list(texts), sizes.tobytes(), found.tobytes(), sum(map(len, texts)))
-        return pd.DataFrame([row], columns=[c.split()[0] for c in schema.split(", ")])
+        return pd.DataFrame([(block, list(ids), list(none), list(texts), sum(map(len, texts)))], columns=columns)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, held, chars = TaskContext.get().partitionId() << 33, [], 0
@@ -76,12 +73,22 @@ def block_table(docs: DataFrame) -> DataFrame:
         if held:
             yield packed(n, held)
 
+    def hash_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for at in range(len(rows)):
+                row = rows.iloc[at : at + 1]
+                words = [t.encode("utf-8", "surrogatepass").split() for t in row["texts"].iloc[0]]
+                sizes = np.fromiter(map(len, words), np.int32, len(words))
+                yield row.assign(sizes=[sizes.tobytes()], hashes=[hashed(chain.from_iterable(words), int(sizes.sum())).tobytes()])
+
     rows = docs.select(
         F.coalesce(docs["doc_id"], F.lit(_LAST)).alias("id"),
         docs["doc_id"].isNull().alias("no_id"),
         F.coalesce(docs["text"], F.lit("")).alias("text"),
     )
-    return bucketed(rows.mapInPandas(pack, schema), "block", partitions_for(docs, STORED), "blocks")
+    # Hashes are made where blocks come to lie: texts alone are shuffled.
+    with_hashes = lambda df: df.mapInPandas(hash_words, f"{schema}, sizes binary, hashes binary")
+    return bucketed(rows.mapInPandas(pack, schema), "block", partitions_for(docs, STORED), "blocks", with_hashes)
 
 
 def anchors(hashes: np.ndarray) -> np.ndarray:
