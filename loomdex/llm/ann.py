@@ -10,6 +10,10 @@ sqrt(M^2 - |x|^2), where lengths differ. Equal vectors are hashed and compared o
 A bucket with many vectors or many queries is dealt into salted parts, all of which
 are searched: nothing is capped. Queries that meet fewer than k vectors look into every
 bucket of one table.
+
+How many hash functions name a bucket and how many buckets a query looks into follow one rule at every size: of a bounded
+sample of PILOT queries, the true neighbours are found by a scan, and with them the number of probes at which each is met. The most
+functions, so that a bucket holds about BUCKET vectors or more, and the fewest probes are taken that find a share of AIM of them.
 """
 
 from __future__ import annotations
@@ -24,8 +28,9 @@ from pyspark.sql.window import Window
 
 from loomdex.runtime import materialize
 
-#: (tables, hash functions a table, probes a table) up to LARGE distinct vectors, and beyond.
-SMALL_PLAN, LARGE_PLAN, LARGE = (16, 1, 8), (20, 2, 200), 1 << 20
+#: Tables; sampled queries and the share of their neighbours that probes are to find; vectors of a bucket, at least about; probes of a
+#: table at most, where there are several functions: with one, all buckets may be looked into.
+TABLES, PILOT, AIM, BUCKET, MOST_PROBES = 8, 100, 0.96, 256, 1024
 #: Vectors and queries of a part of a bucket.
 PART_VECTORS, PART_QUERIES = 4096, 1024
 SEED = 20_240_229
@@ -95,8 +100,66 @@ def _by_width(rows: pd.DataFrame, kind: str) -> Iterator[tuple[pd.DataFrame, np.
         yield part, np.frombuffer(b"".join(part["v"]), kind).reshape(len(part), -1).astype(np.float64)
 
 
+def functions_for(n: int, width: int) -> int:
+    """The most hash functions of a table that are tried for n vectors: buckets hold BUCKET or more on average."""
+    return max(1, int(np.log(max(1.0, n / BUCKET)) / np.log(2 * width)))
+
+
+def fitted(items: DataFrame, asked: DataFrame, longest: float | None, k: int, kind: str, n: int) -> tuple[int, int, int]:
+    """(tables, functions, probes) for ``items(item, embedding)``, by the true neighbours of PILOT of the ``asked`` items."""
+    sample = asked.orderBy(F.xxhash64("embedding"), "embedding").limit(PILOT).select("item", "embedding").collect()
+    if not sample:
+        return TABLES, 1, 1
+    by_width: dict[int, list] = {}
+    for r in sample:
+        by_width.setdefault(len(r["embedding"]), []).append(r)
+    most = functions_for(n, 1 << max(1, (max(by_width) - 1 + (longest is not None)).bit_length()))
+    schema = "q long, score double, " + ", ".join(f"need{f} int" for f in range(1, most + 1))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lists: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            out = []
+            for width, part in batch.groupby(batch["embedding"].map(len)):
+                if width not in by_width:
+                    continue
+                raw = np.stack([np.asarray(v, kind) for v in part["embedding"]]).astype(np.float64)
+                q = np.stack([np.asarray(r["embedding"], kind) for r in by_width[width]]).astype(np.float64)
+                scores = q @ raw.T
+                scores[np.array([r["item"] for r in by_width[width]])[:, None] == part["item"].to_numpy()] = -np.inf
+                near = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                cells, where = np.unique(near, return_inverse=True)
+                where, stored, asks = where.reshape(near.shape), _directions(raw[cells], longest, False), _directions(q, longest, True)
+                needs = []
+                for f in range(1, most + 1):
+                    need = np.full(near.shape, np.iinfo(np.int32).max)
+                    for t in range(TABLES):
+                        key = (width, f, t)
+                        if key not in lists:
+                            lists[key] = probes(asks, t, f, MOST_PROBES if f > 1 else 1 << 30)
+                        met = lists[key][:, None, :] == buckets(stored, t, f)[where][:, :, None]
+                        need = np.minimum(need, np.where(met.any(axis=2), met.argmax(axis=2) + 1, np.iinfo(np.int32).max))
+                    needs.append(need.ravel())
+                best = np.take_along_axis(scores, near, axis=1)
+                of = np.repeat([r["item"] for r in by_width[width]], near.shape[1])
+                frame = pd.DataFrame({"q": of, "score": best.ravel(), **{f"need{f + 1}": x.astype(np.int32) for f, x in enumerate(needs)}})
+                out.append(frame[np.isfinite(frame["score"])])
+            if out:
+                yield pd.concat(out)
+
+    best = Window.partitionBy("q").orderBy(F.desc("score"))
+    found = items.select("item", "embedding").mapInPandas(scan, schema).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+    true = found.toPandas()  # PILOT * k rows at most
+    for f in range(most, 0, -1):
+        needs = np.sort(true[f"need{f}"].to_numpy()) if len(true) else np.array([1])
+        need = int(needs[min(len(needs) - 1, int(np.ceil(AIM * len(needs))) - 1)])
+        if f == 1 or need <= MOST_PROBES:
+            return TABLES, f, need
+    raise AssertionError
+
+
 def _nearest(k: int, kind: str):
-    """Top k + 1 vectors of a part of a bucket for each of its queries, by exact products."""
+    """Top k vectors of a part of a bucket for each of its queries, by exact products."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -106,7 +169,7 @@ def _nearest(k: int, kind: str):
             q = np.frombuffer(b"".join(asked["v"]), kind).reshape(len(asked), -1).astype(np.float64)
             items, least = stored["item"].to_numpy(), stored["least"].to_numpy()
             rough = q @ x.T
-            keep = min(k + 1, len(items))
+            keep = min(k, len(items))
             cut = np.partition(rough, len(items) - keep, axis=1)[:, len(items) - keep] - 1e-9 * (1 + np.abs(rough).max())
             for i, item in enumerate(asked["item"]):
                 near = np.flatnonzero(rough[i] >= cut[i])
@@ -125,8 +188,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, plan: tuple[int,
     Both have ``vec_id`` and ``embedding``, queries being rows of vectors. Nearest is the largest inner product in
     double precision, ties go to the smaller vec_id; a query's own vec_id is no candidate. Rows
     whose vec_id or vector is null, or whose vector is empty, zero, or holds null or non-finite
-    components, take no part; vectors meet only those of their own width. Equal rows count once.
-    A query has fewer than k rows only if there are fewer candidates.
+    components, take no part; vectors meet only those of their own width. Rows that repeat are candidates each; all rows of the
+    query's vec_id are its own, and queries of one vec_id ask together, a candidate's score being its best one. Other columns are
+    left out, whatever their names. A query has fewer than k rows only if there are fewer candidates. ``plan`` is (tables, hash functions a
+    table, probes a table), by default fitted to the vectors.
     """
     element = vectors.schema["embedding"].dataType.elementType.typeName()
     kind = "f4" if element == "float" else "f8"  # as exact as the input
@@ -137,22 +202,25 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, plan: tuple[int,
     def valid(df: DataFrame) -> DataFrame:
         return df.select(df["vec_id"].cast("long").alias("vec_id"), df["embedding"].cast("array<float>" if kind == "f4" else "array<double>").alias("embedding")).where(sound)
 
-    # Of equal vectors, no answer needs more than the k + 1 smallest vec_ids.
-    rows = valid(vectors).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
-    by_id = Window.partitionBy("embedding", "salt").orderBy("vec_id")
-    few = rows.distinct().withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= k + 1)
-    ids = F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids")
+    # Of equal vectors, no answer needs more than the k + 1 smallest vec_ids, each k times at most.
+    rows = valid(vectors).groupBy("embedding", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("m"))
+    by_id = Window.partitionBy("embedding", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")
+    few = rows.withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= k + 1)
+    ids = F.slice(F.array_sort(F.collect_list(F.struct("vec_id", "m"))), 1, k + 1).alias("ids")
     items = few.groupBy("embedding").agg(ids).withColumn("item", F.monotonically_increasing_id())
     length = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double")))
     items = materialize(items.withColumn("length", length), "items")
     stats = items.agg(F.count("*").alias("n"), F.max("length").alias("most"), F.min("length").alias("least")).first()
     longest = None if stats["n"] == 0 or stats["most"] - stats["least"] <= 1e-5 * stats["most"] else stats["most"]
-    tables, functions, count = plan or (SMALL_PLAN if stats["n"] <= LARGE else LARGE_PLAN)
+    # Vectors of one vec_id, at most: so many of the nearest may be the query's own.
+    own_most = items.select(F.explode("ids.vec_id").alias("vec_id")).groupBy("vec_id").count().agg(F.max("count")).first()[0] or 0
+    most = k + own_most
 
     asking = materialize(
         valid(queries).distinct().join(items.select("embedding", "item"), "embedding").select(F.col("vec_id").alias("query_id"), "item"), "asking"
     )
-    packed = items.select("item", F.col("ids")[0].alias("least"), F.col("embedding").alias("v"))
+    tables, functions, count = plan or fitted(items, items.join(asking.select("item").distinct(), "item", "left_semi"), longest, k, kind, stats["n"])
+    packed = items.select("item", F.col("ids")[0]["vec_id"].alias("least"), F.col("embedding").alias("v"))
     asked_items = packed.join(asking.select("item").distinct(), "item", "left_semi")
     schema = "t int, bucket long, w int, item long, least long, v binary"
 
@@ -189,16 +257,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, plan: tuple[int,
         a = stored.join(load, of_bucket).withColumn("vp", mine("vs")).withColumn("qp", every("qs"))
         b = asked.join(load, of_bucket).withColumn("qp", mine("qs")).withColumn("vp", every("vs"))
         both = a.withColumn("asks", F.lit(False)).unionByName(b.withColumn("asks", F.lit(True))).drop("vs", "qs")
-        found = both.groupBy(*of_bucket, "vp", "qp").applyInPandas(_nearest(k, kind), "q long, items array<long>, scores array<double>")
+        found = both.groupBy(*of_bucket, "vp", "qp").applyInPandas(_nearest(most, kind), "q long, items array<long>, scores array<double>")
         pairs = found.select("q", F.explode(F.arrays_zip("items", "scores")).alias("p")).select("q", "p.items", "p.scores").distinct()
         named = pairs.join(items.select(F.col("item").alias("items"), "ids"), "items")
-        each = named.select("q", F.col("scores").alias("score"), F.explode("ids").alias("vec_id")).distinct()
-        best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-        top = each.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
-        return materialize(top.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("top")), "top")
+        each = named.select("q", F.col("scores").alias("score"), "items", F.explode("ids").alias("i")).select("q", "score", "items", "i.*")
+        best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id", "items")
+        top = each.withColumn("r", F.row_number().over(best)).where(F.col("r") <= most)
+        return materialize(top.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score", "items", "m"))).alias("top")), "top")
 
     found = met(asked_items.mapInPandas(hashed("asked"), schema), stored)
-    weak = packed.join(found.where(F.size("top") > k), packed["item"] == F.col("q"), "left_anti")
+    weak = packed.join(found.where(F.size("top") >= most), packed["item"] == F.col("q"), "left_anti")
     weak = materialize(weak.join(asking.select("item").distinct(), "item", "left_semi"), "weak")
     if not weak.isEmpty():
         # Every bucket of one table: all vectors of the query's width.
@@ -207,7 +275,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, plan: tuple[int,
         again = met(as_bytes.join(everywhere, "w").select("t", "bucket", "w", "item", "least", "v"), stored.where("t = 0"))
         found = found.join(again.select("q"), "q", "left_anti").unionByName(again)
     own = asking.join(found.withColumnRenamed("q", "item"), "item").select("query_id", F.explode("top").alias("p")).select("query_id", "p.*")
-    other = own.where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    other = own.where("vec_id <> query_id").groupBy("query_id", "vec_id", "items").agg(F.max("score").alias("score"), F.max("m").alias("m"))
+    other = other.withColumn("m", F.explode(F.sequence(F.lit(1), F.col("m"))))
     line = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return other.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
