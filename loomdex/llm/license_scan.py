@@ -10,6 +10,7 @@ words of each candidate span are then compared with the template itself.
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,9 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomdex.llm.rows import text_key
 from loomdex.llm.words import hashed, rolling
-from loomdex.runtime import BROADCAST_LIMIT_BYTES, materialize
+from loomdex.runtime import materialize
 
 #: Words of a run; diagonals that merge; share of a template that a verified span has.
 K, NEIGHBOURS, LEAST_SHARE = 4, 8, 0.6
@@ -101,16 +101,19 @@ def base_places(words: list[bytes]) -> list[tuple[int, str]]:
     return sorted(found)
 
 
-def _base_columns(texts: pd.Series) -> pd.DataFrame:
-    out = []
-    for t in texts:
-        words = words_of(t)
-        places = base_places(words)
-        out.append(
-            (len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, sorted({p[1] for p in places}))
-        )
-    frame = pd.DataFrame(out, columns=["n_words", "n_base", "first_word", "last_word", "base"])
-    return frame.astype({"first_word": "Int64", "last_word": "Int64"})
+@lru_cache(maxsize=1)
+def _template_set() -> np.ndarray:
+    """Sorted hashes of all runs of K words of the templates."""
+    return np.unique(np.concatenate([_grams(text) for _, text in TEMPLATES]))
+
+
+def _read(text: str | None) -> tuple:
+    """(words, base places, first and last of them, base labels, places and hashes of runs of K words that some template has)."""
+    words = words_of(text)
+    places, grams, known = base_places(words), _grams(text), _template_set()
+    at = np.flatnonzero(known[np.minimum(np.searchsorted(known, grams), len(known) - 1)] == grams) if len(grams) else ()
+    runs = [{"i": int(i), "g": int(grams[i])} for i in at]
+    return len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, sorted({p[1] for p in places}), runs
 
 
 def template_grams(spark: SparkSession) -> DataFrame:
@@ -123,30 +126,25 @@ def template_grams(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "g long, template int, t int")
 
 
-def candidate_spans(docs: DataFrame) -> DataFrame:
-    """``(doc_id, h, template, first, last)``: word ranges where merged diagonals have votes enough."""
-    spark = docs.sparkSession
-
-    @F.pandas_udf("array<long>")
-    def grams(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(map(_grams, texts)))
-
-    rolled = docs.select(docs["doc_id"].alias("doc_id"), text_key().alias("h"), F.posexplode(grams(docs["text"])).alias("i", "g"))
+def candidate_spans(found: DataFrame) -> DataFrame:
+    """``(row, template, first, last)``: word ranges where merged diagonals have votes enough, of ``found(row, runs)``."""
+    spark = found.sparkSession
+    rolled = found.select("row", F.explode("runs").alias("run")).select("row", "run.i", "run.g")
     # The templates are the fixed ones above: a few hundred rows on any input.
     votes = rolled.join(F.broadcast(template_grams(spark)), "g")
-    diagonals = votes.groupBy("doc_id", "h", "template", (F.col("i") - F.col("t")).alias("diagonal")).agg(
+    diagonals = votes.groupBy("row", "template", (F.col("i") - F.col("t")).alias("diagonal")).agg(
         F.collect_set("t").alias("ts"), F.min("i").alias("first"), F.max("i").alias("last")
     )
-    line = Window.partitionBy("doc_id", "h", "template").orderBy("diagonal")
+    line = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = (F.col("diagonal") - F.lag("diagonal").over(line) > NEIGHBOURS).cast("int")
     merged = diagonals.withColumn("run", F.sum(F.coalesce(apart, F.lit(0))).over(line))
-    spans = merged.groupBy("doc_id", "h", "template", "run").agg(
+    spans = merged.groupBy("row", "template", "run").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("ts")))).alias("votes"),
         F.min("first").alias("first"),
         (F.max("last") + K).alias("last"),
     )
     sizes = F.element_at(F.array(*[F.lit(len(words_of(t)) - K + 1) for _, t in TEMPLATES]), F.col("template") + 1)
-    return spans.where(F.col("votes") * 3 >= sizes).select("doc_id", "h", "template", "first", "last")
+    return spans.where(F.col("votes") * 3 >= sizes).select("row", "template", "first", "last")
 
 
 def span_share(words: list[bytes], template: int, first: int, last: int) -> float:
@@ -163,14 +161,19 @@ def scan(docs: DataFrame) -> DataFrame:
     n_base counts the places of base phrases, first_word and last_word are the smallest and
     largest word at which one starts (else null). labels adds those of verified spans. score
     is 1 with a base phrase, else the largest share of a template that a verified span
-    has, else 0. spans lists (label, first, last, share). Null text is empty: no words, no labels.
+    has, else 0. spans lists (label, first, last, share). Null text is empty: no words, no labels. Rows that repeat count each;
+    other columns are left out, whatever their names; an empty table gives no rows.
+
+    Texts are read once. What is written of them is what was found, and the whole text of rows that have a run of words of
+    some template: only those are joined with their spans.
     """
-    spans = materialize(candidate_spans(docs), "spans")
-    listed = spans.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("template", "first", "last"))).alias("found"))
-    if spans.count() * 64 <= BROADCAST_LIMIT_BYTES:
-        listed = F.broadcast(listed)
-    listed = listed.withColumnsRenamed({"doc_id": "d", "h": "k"})
-    base = F.pandas_udf(_base_columns, "n_words long, n_base long, first_word long, last_word long, base array<string>")
+
+    schema = "n_words long, n_base long, first_word long, last_word long, base array<string>, runs array<struct<i:int,g:long>>"
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    @F.pandas_udf(schema)
+    def read(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(list(map(_read, texts)), columns=columns).astype({"first_word": "Int64", "last_word": "Int64"})
 
     @F.pandas_udf("array<struct<label:string,first:int,last:int,share:double>>")
     def verified(texts: pd.Series, found: pd.Series) -> pd.Series:
@@ -186,9 +189,16 @@ def scan(docs: DataFrame) -> DataFrame:
             out.append(kept)
         return pd.Series(out)
 
-    rows = docs.select(docs["doc_id"].alias("doc_id"), text_key().alias("h"), docs["text"].alias("text"))
-    met = rows.join(listed, rows["doc_id"].eqNullSafe(listed["d"]) & (rows["h"] == listed["k"]), "left")
-    told = met.select("doc_id", base("text").alias("b"), verified("text", "found").alias("spans")).select("doc_id", "b.*", "spans")
+    rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), read(docs["text"]).alias("b"))
+    text = F.when(F.size("runs") > 0, F.col("text")).alias("text")
+    rows = rows.select("doc_id", "b.*", "text").select("doc_id", *columns, text, F.monotonically_increasing_id().alias("row"))
+    rows = materialize(rows, "read")
+    some = rows.where(F.size("runs") > 0)
+    listed = candidate_spans(some).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("template", "first", "last"))).alias("found"))
+    none = F.array().cast("array<struct<label:string,first:int,last:int,share:double>>").alias("spans")
+    kept = ["doc_id", *columns[:-1]]
+    met = some.select(*kept, "text", "row").join(listed, "row", "left").select(*kept, verified("text", "found").alias("spans"))
+    told = rows.where(F.size("runs") == 0).select(*kept, none).unionByName(met)
     every = F.array_sort(F.array_distinct(F.concat("base", F.col("spans.label"))))
     return told.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
