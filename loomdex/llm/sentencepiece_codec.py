@@ -169,6 +169,8 @@ def _giants(docs: DataFrame, shared, chunk: int) -> DataFrame:
 
     schema = "uid long, id long, no_id boolean, c int, part string, left int"
     chunks = materialize(docs.mapInPandas(split, schema), "chunks")
+    if chunks.isEmpty():
+        return docs.sparkSession.createDataFrame([], "doc_id long, ids array<int>")
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = segmenter(shared.value)
