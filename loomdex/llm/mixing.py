@@ -18,9 +18,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomdex.llm.rows import text_key
+from loomdex.operators.ranking import with_positions
 from loomdex.runtime import materialize
 
 #: Weights of the sources by code point, repeating; most times that a source is taken.
@@ -46,9 +46,9 @@ def targets(sizes: DataFrame) -> DataFrame:
     source's size; what is above is shared by weight again, until none is above. Only sums over
     the sources reach the driver.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.row_number().over(order) - 1) % len(WEIGHTS) + 1)
-    weighed = materialize(sizes.withColumn("weight", weight.cast("double")), "weighed")
+    placed = with_positions(sizes, [], [F.col("source").asc_nulls_last()], "place")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("place") % len(WEIGHTS) + 1).cast("int"))
+    weighed = materialize(placed.withColumn("weight", weight.cast("double")).drop("place"), "weighed")
     top = F.col("source_size") * float(MOST)
     level = 0.0
     while True:
