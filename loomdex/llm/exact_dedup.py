@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.rows import keep_chosen, text_key
+from loomdex.llm.rows import first_of, keep_chosen, row_key
 from loomdex.runtime import materialize
 
 WHITESPACE = r"[\x20\x09-\x0D]+"
@@ -30,16 +30,16 @@ def normalized(text: Column) -> Column:
 
 
 def _recipes(docs: DataFrame, identifier=F.xxhash64) -> DataFrame:
-    """(doc_id, h, tie, text_sha256, ids, ordinals) of each row; ordinals only where identifiers clash."""
+    """(doc_id, key, tie, text_sha256, ids, ordinals) of each row; ordinals only where identifiers clash."""
     text = normalized(docs["text"])
     cut = docs.select(
         docs["doc_id"].alias("doc_id"),
-        text_key().alias("h"),
+        row_key(docs).alias("key"),
         F.monotonically_increasing_id().alias("tie"),
         text.alias("t"),
     ).select(
         "doc_id",
-        "h",
+        "key",
         "tie",
         F.sha2("t", 256).alias("text_sha256"),
         F.transform(
@@ -68,25 +68,23 @@ def _recipes(docs: DataFrame, identifier=F.xxhash64) -> DataFrame:
 
 
 def duplicate_groups(docs: DataFrame, identifier=F.xxhash64) -> DataFrame:
-    """``(doc_id, h, grp, keep_id, group_size, kept, text_sha256)``, a row for each row of ``docs(doc_id, text)``.
+    """``(doc_id, key, grp, keep_id, group_size, kept, text_sha256)``, a row for each row of ``docs(doc_id, text)``.
 
     Texts are equal when identical after each run of white space is made one space;
     null counts as empty. keep_id is the group's least doc_id (null if it has none),
     kept is true on one row of the group, which has that doc_id, even if rows repeat
-    it. ``grp`` is equal in rows of one group. An empty table gives no rows.
+    it: then on that of the least hash of all columns. ``grp`` is equal in rows of one group. An empty table gives no rows.
     """
     rows = materialize(_recipes(docs, identifier).withColumn("grp", F.struct("ids", "ordinals")).drop("ids", "ordinals"), "rows")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("keep_id"), F.col("tie").alias("t")))
+    first = F.min(F.struct(first_of(F.col("doc_id"), F.col("key")).alias("row"), F.col("tie").alias("t")))
     groups = rows.groupBy("grp").agg(first.alias("first"), F.count("*").alias("group_size"))
-    groups = groups.select(F.col("grp").alias("g"), "first.keep_id", "first.t", "group_size")
+    groups = groups.select(F.col("grp").alias("g"), F.col("first.row.doc_id").alias("keep_id"), "first.t", "group_size")
     same = (rows["grp"]["ids"] == groups["g"]["ids"]) & rows["grp"]["ordinals"].eqNullSafe(groups["g"]["ordinals"])
     return rows.join(groups, same).select(
-        "doc_id", "h", "grp", "keep_id", "group_size", (F.col("tie") == F.col("t")).alias("kept"), "text_sha256"
+        "doc_id", "key", "grp", "keep_id", "group_size", (F.col("tie") == F.col("t")).alias("kept"), "text_sha256"
     )
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, that with the least doc_id; columns as they are."""
-    found = materialize(duplicate_groups(docs), "groups")
-    keep = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("keep")
-    return keep_chosen(docs, found.select("doc_id", "h", "grp", keep))
+    return keep_chosen(docs, materialize(duplicate_groups(docs).select("doc_id", "key", F.col("kept").alias("keep")), "groups"))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.rows import text_key
+from loomdex.llm.rows import row_key, text_key
 from loomdex.operators.ranking import with_positions
 from loomdex.runtime import materialize
 
@@ -188,14 +188,15 @@ def mix(docs: DataFrame) -> DataFrame:
 def repeat_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; columns as they are.
 
-    Rows equal in doc_id and text count as one, with the sum of their copies.
+    Rows equal in doc_id and text count as one, with the sum of their copies: that of the least hash of all columns.
     """
     drawn = mix(docs).groupBy("doc_id", "h").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("n"))
     drawn = materialize(drawn.where("copies > 0").select(F.col("doc_id").alias("d"), F.col("h").alias("k"), "copies", "n"), "drawn")
     columns = [docs[c] for c in docs.columns]
-    rows = docs.select(F.struct(*columns).alias("r"), docs["doc_id"].alias("i"), F.xxhash64(docs["text"]).alias("h"))
+    rows = docs.select(F.struct(*columns).alias("r"), docs["doc_id"].alias("i"), F.xxhash64(docs["text"]).alias("h"), row_key(docs).alias("key"))
     met = rows.join(drawn, rows["i"].eqNullSafe(drawn["d"]) & (rows["h"] == drawn["k"]))
-    once = met.where("n = 1")
+    once = met.where("n = 1").select("r", "copies")
     if not drawn.where("n > 1").isEmpty():
-        once = once.unionByName(met.where("n > 1").dropDuplicates(["i", "h"]))
+        several = met.where("n > 1").groupBy("i", "h").agg(F.min_by("r", "key").alias("r"), F.first("copies").alias("copies"))
+        once = once.unionByName(several.select("r", "copies"))
     return once.select("r", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("r.*")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.llm.components import connected_components
-from loomdex.llm.rows import keep_chosen, text_key
+from loomdex.llm.rows import first_of, keep_chosen, row_key
 from loomdex.runtime import materialize
 
 #: Shingles whose bits are unpacked at once: bounds memory on very long texts.
@@ -135,9 +135,9 @@ def similar_fingerprints(prints: DataFrame, radius: int = 4, segments: int | Non
 
 
 def _grouped(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
-    """(doc_id, h, fp, grp, component_id) of each row; grp is the component's least fingerprint."""
+    """(doc_id, key, fp, grp, component_id) of each row; grp is the component's least fingerprint."""
     prints = materialize(
-        docs.select("doc_id", text_key().alias("h"), fingerprint_column(F.col("text"), shingle).alias("fp")), "prints"
+        docs.select(docs["doc_id"].alias("doc_id"), row_key(docs).alias("key"), fingerprint_column(docs["text"], shingle).alias("fp")), "prints"
     )
     by_print = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "by_print")
     roots = connected_components(similar_fingerprints(by_print.select("fp"), radius))
@@ -165,6 +165,12 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) ->
 
     Columns stay as they are, whatever their names. Other cases as in :func:`near_duplicates`.
     """
-    found = materialize(_grouped(docs, shingle, radius), "grouped")
-    keep = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("keep")
-    return keep_chosen(docs, found.select("doc_id", "h", "grp", keep))
+    return keep_chosen(docs, first_rows(_grouped(docs, shingle, radius)))
+
+
+def first_rows(grouped: DataFrame) -> DataFrame:
+    """``(doc_id, key, keep)`` of ``grouped(doc_id, key, grp, ...)``: the row of the least doc_id and key of each group is kept."""
+    grouped = materialize(grouped.select("doc_id", "key", "grp"), "grouped")
+    first = grouped.groupBy("grp").agg(F.min(first_of(F.col("doc_id"), F.col("key"))).alias("first"))
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    return materialize(grouped.join(first, "grp").select("doc_id", "key", same.alias("keep")), "decided")

@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.llm.components import connected_components
-from loomdex.llm.rows import keep_chosen, text_key
+from loomdex.llm.rows import keep_chosen, row_key
+from loomdex.llm.simhash import first_rows
 from loomdex.llm.words import hashed, rolling
 from loomdex.runtime import materialize
 
@@ -241,27 +242,27 @@ def verified_links(members: DataFrame, texts: DataFrame, shingle: int, similarit
 
 
 def _grouped(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(doc_id, h, grp, component_id) of each row."""
+    """(doc_id, key, grp, component_id) of each row."""
 
     @F.pandas_udf("sig binary, digest binary")
     def sign(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t, shingle) for t in texts]
         return pd.DataFrame({"sig": [signature(x) for x in sets], "digest": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]})
 
-    signed = docs.select(docs["doc_id"].alias("doc_id"), text_key().alias("h"), sign(docs["text"]).alias("s"))
-    signed = materialize(signed.select("doc_id", "h", "s.sig", "s.digest"), "signed")
+    signed = docs.select(docs["doc_id"].alias("doc_id"), row_key(docs).alias("key"), F.xxhash64(docs["text"]).alias("h"), sign(docs["text"]).alias("s"))
+    signed = materialize(signed.select("doc_id", "key", "h", "s.sig", "s.digest"), "signed")
     distinct = signed.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("sig").alias("sig"), F.min("h").alias("h"))
     distinct = materialize(distinct.withColumn("v", F.monotonically_increasing_id()), "signatures")
     near = connected_components(similar_signatures(distinct.select("v", "sig"), similarity))
     members = near.select(F.col("node").alias("v"), F.col("root").alias("comp"))
     members = members.union(near.select(F.col("root").alias("v"), F.col("root").alias("comp")).distinct())
     members = materialize(members.join(distinct.select("v", "sig", "h"), "v"), "candidates")
-    texts = docs.select(text_key().alias("h"), docs["text"].alias("text"))
+    texts = docs.select(F.xxhash64(docs["text"]).alias("h"), docs["text"].alias("text"))
     roots = connected_components(verified_links(members, texts, shingle, similarity))
     rooted = distinct.join(roots.withColumnRenamed("node", "v"), "v", "left").select("digest", "least", F.coalesce("root", "v").alias("grp"))
     # Written, so that the join's sides are shuffled for it alone and a large component can be split.
     groups = materialize(rooted.groupBy("grp").agg(F.min("least").alias("component_id")), "groups")
-    return signed.drop("sig").join(rooted.join(groups, "grp").select("digest", "grp", "component_id"), "digest").drop("digest")
+    return signed.drop("sig", "h").join(rooted.join(groups, "grp").select("digest", "grp", "component_id"), "digest").drop("digest")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -277,6 +278,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each component: of the least doc_id, nulls last. Columns as they are."""
-    found = materialize(_grouped(docs, shingle, similarity), "grouped")
-    keep = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("keep")
-    return keep_chosen(docs, found.select("doc_id", "h", "grp", keep))
+    return keep_chosen(docs, first_rows(_grouped(docs, shingle, similarity)))
