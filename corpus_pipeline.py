@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.llm import exact_dedup, mixing, sentencepiece_codec, simhash_wide, toxicity
-from loomdex.runtime import scratch_root
+from loomdex.runtime import clear_scratch, scratch_root, written
 from loomdex.sources import table
 
 
@@ -61,7 +61,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     root = f"{scratch_root(spark)}/corpus-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
-        path = f"{root}/{i}-{name}"
+        path, before = f"{root}/{i}-{name}", written()
         stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        clear_scratch(spark, before)  # tables that only this stage needed
         docs = spark.read.parquet(path)
     return docs

@@ -94,9 +94,14 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target.getParent(), True)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete all scratch tables that this process wrote: for when no result that reads one is needed any more."""
-    while _written:
+def written() -> int:
+    """How many scratch tables this process wrote that weren't deleted by :func:`clear_scratch`."""
+    return len(_written)
+
+
+def clear_scratch(spark: SparkSession, since: int = 0) -> None:
+    """Delete the scratch tables that this process wrote, all or those after the first ``since``: for when no result that reads one is needed."""
+    while len(_written) > since:
         target = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target.getParent(), True)
 
