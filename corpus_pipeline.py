@@ -52,7 +52,7 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-#: The model, the fingerprints and the draws can't be expressed in SQL; tests hold each stage against brute force.
+#: The model, the fingerprints and the draws can't be expressed in SQL; tests hold the operators of the stages against brute force.
 ORACLE_SQL = None
 
 
