@@ -26,10 +26,10 @@ from loomdex.llm.words import Remembered
 
 #: Fixed parameters of the model. A text counts as having SMOOTHING words more, of vector 0,
 #: so that a very short text isn't judged by chance.
-BUCKETS, DIMENSIONS, NGRAMS, SMOOTHING = 1 << 22, 4, (3, 4, 5, 6), 10
+BUCKETS, DIMENSIONS, NGRAMS, SMOOTHING = 1 << 22, 4, (3, 4, 5, 6, 7), 10
 #: Parameters of training; MAX_ROWS bounds the labelled sample. A bucket that is met in
 #: fewer texts than MIN_TEXTS keeps the vector 0.
-MAX_ROWS, MIN_TEXTS, EPOCHS, MOST_EPOCHS, BATCH, RATE, SCALE = 6000, 6, 10, 40, 32, 0.5, 100.0
+MAX_ROWS, MIN_TEXTS, EPOCHS, MOST_EPOCHS, BATCH, RATE, SCALE = 8000, 6, 10, 40, 32, 0.5, 100.0
 #: Words whose number a worker remembers in each of two generations, and how long they may be.
 CACHE_WORDS, CACHE_CHARS = 200_000, 64
 
