@@ -14,6 +14,7 @@ import math
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import compress
 from zlib import crc32
 
 import numpy as np
@@ -32,6 +33,8 @@ BUCKETS, DIMENSIONS, NGRAMS, SMOOTHING = 1 << 22, 4, (3, 4, 5, 6, 7), 10
 MAX_ROWS, MIN_TEXTS, EPOCHS, MOST_EPOCHS, BATCH, RATE, SCALE = 8000, 6, 10, 40, 32, 0.5, 100.0
 #: Words whose number a worker remembers in each of two generations, and how long they may be.
 CACHE_WORDS, CACHE_CHARS = 200_000, 64
+#: Words of the sample whose subwords are made at a time.
+BLOCK = 20_000
 
 _WORD = re.compile(r"\w+")
 
@@ -49,7 +52,7 @@ def bucket(part: str) -> int:
 
 def words_of(text: str | None) -> set[str]:
     """Distinct words of the whole lower-cased text."""
-    return {m[0] for m in _WORD.finditer((text or "").lower())}
+    return set(_WORD.findall((text or "").lower()))
 
 
 def train(bags: Iterable[list[str]], y: np.ndarray, seed: int = 1) -> tuple[dict[str, float], float]:
@@ -67,28 +70,38 @@ def train(bags: Iterable[list[str]], y: np.ndarray, seed: int = 1) -> tuple[dict
     vocabulary = list(number)
     del number
     met, chunks = np.zeros(BUCKETS, np.int32), []
-    for at in range(0, len(vocabulary), 20_000):
-        parts = [array("i", map(bucket, subwords(w))) for w in vocabulary[at : at + 20_000]]
+    for at in range(0, len(vocabulary), BLOCK):
+        parts = [array("i", map(bucket, subwords(w))) for w in vocabulary[at : at + BLOCK]]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         flat = np.frombuffer(b"".join(parts), np.int32)
-        met += np.bincount(flat, np.repeat(texts[at : at + 20_000], sizes), BUCKETS).astype(np.int32)
+        met += np.bincount(flat, np.repeat(texts[at : at + BLOCK], sizes), BUCKETS).astype(np.int32)
         chunks.append((flat, sizes))
     kept = np.flatnonzero(met >= MIN_TEXTS)
     index = np.full(BUCKETS, -1, np.int32)
     index[kept] = np.arange(len(kept), dtype=np.int32)
     del met, parts
     size = np.concatenate([s for _, s in chunks])  # of all subwords; those kept are in flat
-    held, live = [], []
+    held, live, masks = [], [], []
     while chunks:
         i, s = index[chunks[0][0]], chunks.pop(0)[1]
-        held.append(np.add.reduceat((i >= 0).astype(np.int64), np.cumsum(s) - s))
-        live.append(i[i >= 0])
+        masks.append(i >= 0)
+        held.append(np.add.reduceat(masks[-1].astype(np.int64), np.cumsum(s) - s))
+        live.append(i[masks[-1]])
     held, flat = np.concatenate(held), np.concatenate(live)
     start = np.cumsum(held) - held
-    del live
+    del live, index
+    # Numbered by their first word: neighbours in memory are met together.
+    by_word, first = np.unique(flat, return_index=True)
+    by_word = by_word[np.argsort(first)]
+    place = np.empty(len(kept), np.int32)
+    place[by_word] = np.arange(len(kept), dtype=np.int32)
+    flat = place[flat]
+    counts = np.array([len(d) + SMOOTHING for d in docs], float)
+    docs = [d[held[d] > 0] for d in docs]  # other words count, but are of vector 0
 
     rng = np.random.default_rng(seed)
-    emb = rng.normal(0, 0.02, (len(kept), DIMENSIONS))
+    # Two dimensions make one complex number, so that memory is visited half as often.
+    emb = np.ascontiguousarray(rng.normal(0, 0.02, (len(kept), DIMENSIONS))[by_word].view(complex).T)
     soft, bias = np.array(rng.normal(0, 0.5, (DIMENSIONS, 2))), np.zeros(2)
     weight = np.array([len(y) / (2 * (y == c).sum()) for c in (0, 1)])
     epochs = min(MOST_EPOCHS, max(EPOCHS, EPOCHS * MAX_ROWS // (2 * len(y))))
@@ -97,31 +110,33 @@ def train(bags: Iterable[list[str]], y: np.ndarray, seed: int = 1) -> tuple[dict
         rate = RATE * (1 - epoch / epochs)
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
-            words = np.concatenate([docs[i] for i in rows])
+            # Subwords are summed once for each distinct word of the batch.
+            words, of_word = np.unique(np.concatenate([docs[i] for i in rows]), return_inverse=True)
             of_doc = np.repeat(np.arange(len(rows)), [len(docs[i]) for i in rows])
             sizes = held[words]
-            of_word = np.repeat(np.arange(len(words)), sizes)
-            ids = flat[np.arange(len(of_word)) - np.repeat(np.cumsum(sizes) - sizes - start[words], sizes)]
-            counts = np.array([len(docs[i]) + SMOOTHING for i in rows])
-            vals = (SCALE / (size[words] * counts[of_doc]))[of_word]
-            owner = of_doc[of_word]
-            hidden = np.stack([np.bincount(owner, vals * emb[ids, d], len(rows)) for d in range(DIMENSIONS)], axis=1)
+            first = np.cumsum(sizes) - sizes
+            ids = flat[np.arange(sizes.sum()) + np.repeat(start[words] - first, sizes)]
+            share, each = 1 / counts[rows][of_doc], SCALE / size[words]
+            vectors = np.stack([np.add.reduceat(e[ids], first) * each for e in emb], axis=1).view(float)
+            hidden = np.stack([np.bincount(of_doc, v[of_word] * share, len(rows)) for v in vectors.T], axis=1)
             logits = hidden @ soft + bias
             prob = np.exp(logits - logits.max(axis=1, keepdims=True))
             prob /= prob.sum(axis=1, keepdims=True)
             prob[np.arange(len(rows)), y[rows]] -= 1
             delta = prob * weight[y[rows], None] / len(rows)
             back = delta @ soft.T
-            for d in range(DIMENSIONS):
-                emb[:, d] -= rate * np.bincount(ids, vals * back[owner, d], len(emb))
+            steps = np.stack([rate * each * np.bincount(of_word, b[of_doc] * share, len(words)) for b in back.T], axis=1)
+            for e, step in zip(emb, steps.view(complex).T, strict=True):
+                np.subtract.at(e, ids, np.repeat(step, sizes))
             soft -= rate * 0.1 * (hidden.T @ delta)
             bias -= rate * 0.1 * delta.sum(axis=0)
-    value = (SCALE * (emb @ (soft[:, 1] - soft[:, 0]))).tolist()
+    value = SCALE * (np.ascontiguousarray(emb.T).view(float) @ (soft[:, 1] - soft[:, 0]))
     numbers: dict[str, float] = {}
-    for w in vocabulary:
-        for p in subwords(w):
-            if p not in numbers and (i := index[bucket(p)]) >= 0:
-                numbers[p] = value[i]
+    ends = np.cumsum(held).tolist()
+    for n, mask in enumerate(masks):
+        some = vocabulary[n * BLOCK : (n + 1) * BLOCK]
+        parts = compress((p for w in some for p in subwords(w)), mask.tolist())
+        numbers.update(zip(parts, value[flat[start[n * BLOCK] : ends[n * BLOCK + len(some) - 1]]].tolist(), strict=True))
     return numbers, float(bias[1] - bias[0])
 
 
@@ -133,8 +148,19 @@ class WordScores(Remembered):
         super().__init__(self._mean, CACHE_WORDS, CACHE_CHARS)
 
     def _mean(self, word: str) -> float:
-        get, parts = self.numbers.get, subwords(word)
-        return sum([get(p, 0.0) for p in parts]) / len(parts)
+        parts = subwords(word)
+        return sum(filter(None, map(self.numbers.get, parts))) / len(parts)
+
+
+#: The last model's words, which a worker remembers from task to task.
+_last: WordScores | None = None
+
+
+def word_scores(numbers: dict[str, float]) -> WordScores:
+    global _last
+    if _last is None or _last.numbers is not numbers:
+        _last = WordScores(numbers)
+    return _last
 
 
 def score_text(text: str | None, words: WordScores, bias: float) -> float:
@@ -162,7 +188,7 @@ def scored(docs: DataFrame, model: tuple[dict[str, float], float], name: str = "
 
     @F.pandas_udf("double")
     def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = WordScores(shared.value)
+        words = word_scores(shared.value)
         for texts in batches:
             yield pd.Series([score_text(t, words, bias) for t in texts], dtype="float64")
 
