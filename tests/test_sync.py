@@ -7,6 +7,7 @@ import time
 from hashlib import sha256
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark import cloudpickle
 from pyspark.errors import StreamingQueryException
@@ -315,6 +316,32 @@ def test_search_of_many_queries(spark, monkeypatch, limit):
         assert sorted(map(tuple, many.collect())) == brute_search(every, wanted, 6, mode)
 
 
+def test_search_holds_no_matrix_of_all_pairs(monkeypatch):
+    """What a worker holds of many queries and a batch is bounded, copies and ties included, and it finds what brute force finds."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, rng = 4000, np.random.default_rng(2)
+    x = rng.normal(size=(n, 8)).astype(np.float32).astype(float)
+    x[::2] = x[0]  # half of all rows are copies
+    names, keys = [f"{i * 37 % n:05d}" for i in range(n)], [f"t{i % 2}" if i % 7 else None for i in range(n)]
+    asked = pa.table({"query_id": names, "key": keys, "vec": list(x)})
+    for exact in (True, False):
+        tracemalloc.start()
+        best = vector_index._Best(asked, 5, exact)
+        for at in range(0, n, 1500):
+            best.add(asked.rename_columns(["id", "key", "vec"]).slice(at, 1500))
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20  # a matrix of all pairs takes 128 MB
+        tracemalloc.stop()
+        got = best.found().to_pylist()
+        for i in (0, 1, 2, 7, 1999):
+            score = np.round((x * x[i]).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((x[i] * x[i]).sum())), 12)
+            of = [j for j in range(n) if not exact or keys[i] is not None and keys[j] == keys[i]]
+            want = sorted((-score[j], names[j], keys[i] is not None and keys[j] == keys[i]) for j in of)[:5]
+            assert sorted((-r["score"], r["id"], r["mine"]) for r in got if r["query_id"] == names[i]) == want
+
+
 def test_vector_ids(spark):
     ids = spark.createDataFrame([("user-alice", "project-one", "h" * 64), ("a_b", "p", "hash")], "u string, p string, h string")
     short = hashing.vector_id(F.col("u"), F.col("p"), F.col("h"))
