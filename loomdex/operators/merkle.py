@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,21 +33,37 @@ def in_order(tree: DataFrame) -> DataFrame:
     return with_positions(tree, owner(tree), order)
 
 
+def _above(hashes: Column) -> Column:
+    """The level above a run of hashes: pairs are hashed as hex, an odd last one moves up unchanged."""
+    pair = F.transform(
+        F.sequence(F.lit(0), ((F.size(hashes) - 1) / 2).cast("int")),
+        lambda i: F.when(
+            2 * i + 1 < F.size(hashes),
+            F.sha2(F.concat(F.get(hashes, (2 * i).cast("int")), F.get(hashes, (2 * i + 1).cast("int"))), 256),
+        ).otherwise(F.get(hashes, (2 * i).cast("int"))),
+    )
+    return F.when(F.size(hashes) <= 1, hashes).otherwise(pair)
+
+
+#: Levels that a run of FOLD hashes has above it.
+ROUNDS = FOLD.bit_length() - 1
+
+
 def _fold(hashes: Column) -> Column:
-    """The root of up to FOLD hashes: pairs are hashed as hex, an odd last one moves up unchanged."""
-    rounds = FOLD.bit_length() - 1
+    """The root of up to FOLD hashes."""
+    return F.get(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), hashes, lambda acc, _: _above(acc)), F.lit(0))
+
+
+def _levels(hashes: Column) -> Column:
+    """The ROUNDS levels above up to FOLD hashes, from below; the last one is the root alone."""
+    every = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.array(hashes), lambda acc, _: F.concat(acc, F.array(_above(F.element_at(acc, -1)))))
+    return F.slice(every, 2, ROUNDS)
 
-    def one(acc: Column) -> Column:
-        pair = F.transform(
-            F.sequence(F.lit(0), ((F.size(acc) - 1) / 2).cast("int")),
-            lambda i: F.when(
-                2 * i + 1 < F.size(acc),
-                F.sha2(F.concat(F.get(acc, (2 * i).cast("int")), F.get(acc, (2 * i + 1).cast("int"))), 256),
-            ).otherwise(F.get(acc, (2 * i).cast("int"))),
-        )
-        return F.when(F.size(acc) <= 1, acc).otherwise(pair)
 
-    return F.get(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), hashes, lambda acc, _: one(acc)), F.lit(0))
+def _runs(level: DataFrame, key: list[str]) -> DataFrame:
+    """``(project_id, idx, h)``: aligned runs of FOLD nodes, the hashes of each in order."""
+    run = level.groupBy(*key, F.floor(F.col("idx") / FOLD).alias("idx"))
+    return run.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("idx"), "hash"))), lambda s: s["hash"]).alias("h"))
 
 
 def roots(tree: DataFrame) -> DataFrame:
@@ -54,9 +73,7 @@ def roots(tree: DataFrame) -> DataFrame:
     sizes = tree.groupBy(*key).agg(F.count("*").alias("n_files"))
     most = sizes.agg(F.max("n_files")).first()[0] or 0
     while True:
-        run = level.groupBy(*key, F.floor(F.col("idx") / FOLD).alias("idx"))
-        hashes = F.transform(F.array_sort(F.collect_list(F.struct(F.col("idx"), "hash"))), lambda s: s["hash"])
-        level = run.agg(hashes.alias("h")).select(*key, "idx", _fold(F.col("h")).alias("hash"))
+        level = _runs(level, key).select(*key, "idx", _fold(F.col("h")).alias("hash"))
         most = -(-most // FOLD)
         if most <= 1:
             break
@@ -64,23 +81,25 @@ def roots(tree: DataFrame) -> DataFrame:
 
 
 def nodes(tree: DataFrame) -> DataFrame:
-    """``(project_id, level, idx, hash)`` of all nodes, leaves being level 0."""
+    """``(project_id, level, idx, hash)`` of all nodes, leaves being level 0.
+
+    Each pass makes ROUNDS levels of aligned runs of FOLD nodes, so that a project of any size is dealt over many tasks.
+    """
     key = owner(tree)
-    level = in_order(tree).select(*key, F.lit(0).alias("level"), "idx", "hash")
-    most = tree.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
-    out, k = level, 0
+    out = level = in_order(tree).select(*key, F.lit(0).alias("level"), "idx", "hash")
+    sizes = materialize(tree.groupBy(*key).agg(F.count("*").alias("n")), "sizes")
+    most, k = sizes.agg(F.max("n")).first()[0] or 0, 0
+    sizes = sizes.select("n", *[F.col(c).alias(f"__{c}") for c in key])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key])
     while most > 1:
-        k, most = k + 1, -(-most // 2)
-        left = F.max(F.when(F.col("idx") % 2 == 0, F.col("hash")))
-        right = F.max(F.when(F.col("idx") % 2 == 1, F.col("hash")))
-        several = level.groupBy(*key).agg(F.max("idx").alias("top")).where("top > 0").select(*key)
-        pairs = level.join(several, key, "left_semi").groupBy(*key, F.floor(F.col("idx") / 2).alias("idx"))
-        joined = pairs.agg(left.alias("l"), right.alias("r"))
-        hash_ = F.when(F.col("r").isNull(), F.col("l")).otherwise(F.sha2(F.concat("l", "r"), 256))
-        level = joined.select(*key, F.lit(k).alias("level"), "idx", hash_.alias("hash"))
-        if k % 4 == 0:  # so that the plan of all levels grows with their number only
-            level = materialize(level, "level")
-        out = out.unionByName(level)
+        folded = materialize(_runs(level, key).select(*key, "idx", _levels(F.col("h")).alias("levels")), "folded")
+        above = folded.join(sizes, same).select(*key, "n", "idx", F.posexplode("levels").alias("j", "h"))
+        # A project's levels end with its root.
+        above = above.where(F.col("n") > F.lit(2.0) ** (F.col("j") + k)).withColumn("first", (F.col("idx") * F.lit(FOLD // 2) / F.lit(2.0) ** F.col("j")).cast("long"))
+        placed = above.select(*key, (F.col("j") + k + 1).alias("level"), "first", F.posexplode("h").alias("i", "hash"))
+        out = out.unionByName(placed.select(*key, "level", (F.col("first") + F.col("i")).alias("idx"), "hash"))
+        level = folded.select(*key, "idx", F.get(F.element_at("levels", -1), F.lit(0)).alias("hash"))
+        most, k = -(-most // FOLD), k + ROUNDS
     return out
 
 

@@ -251,6 +251,21 @@ def test_merkle_roots(spark, n):
         assert top.hash == expected
 
 
+def test_merkle_levels_of_one_large_project(spark):
+    """A project's nodes are dealt over tasks by runs of leaves, not by project, and all levels are there."""
+    n = 600
+    files = spark.createDataFrame([("p", f"f{i:04d}", str(i)) for i in range(n)] + [("q", "a", "1"), (None, "a", "1"), (None, "b", "2")], "project_id string, relative_path string, content string")
+    found = merkle.nodes(merkle.leaves(files))
+    got = {(r.project_id, r.level, r.idx): r.hash for r in found.collect()}
+    level, want = [sha256(f"f{i:04d}{i}".encode()).hexdigest() for i in range(n)], {}
+    for k in range(11):
+        want |= {("p", k, i): h for i, h in enumerate(level)}
+        level = [sha256("".join(level[i : i + 2]).encode()).hexdigest() if level[i + 1 : i + 2] else level[i] for i in range(0, len(level), 2)]
+    assert {k: v for k, v in got.items() if k[0] == "p"} == want and len(want) == 600 + 300 + 150 + 75 + 38 + 19 + 10 + 5 + 3 + 2 + 1
+    assert [k for k in got if k[0] == "q"] == [("q", 0, 0)] and {k[1:] for k in got if k[0] is None} == {(0, 0), (0, 1), (1, 0)}
+    assert "LeftSemi" not in found._jdf.queryExecution().optimizedPlan().toString()  # no level is dealt by its project
+
+
 def test_merkle_order_and_changes(spark):
     files = spark.createDataFrame([("p", x, "c") for x in ("b", "A", "a", "_", "B")], "project_id string, relative_path string, content string")
     tree = merkle.leaves(files)
