@@ -63,10 +63,15 @@ def summary(hits: DataFrame) -> DataFrame:
     )
 
 
-def put(cache: DataFrame, rows: DataFrame, now: Column, ttl_days: int) -> DataFrame:
-    """The cache after ``rows`` were stored at ``now``; of one hash the later entry stays."""
+def put(cache: DataFrame, rows: DataFrame, now: Column, ttl_days: int, distinct: bool = False) -> DataFrame:
+    """The cache after ``rows`` were stored at ``now``; of one hash the later entry stays.
+
+    ``distinct`` says that rows have each hash once: they are then taken as they are, and only older entries are shuffled.
+    """
     fresh = rows.withColumn("expires_at", now + F.make_interval(days=F.lit(ttl_days)))
     columns = cache.columns
+    if distinct:
+        return latest(cache).join(rows.select("hash"), "hash", "left_anti").select(*columns).unionByName(fresh.select(*columns))
     both = cache.withColumn("__v", F.lit(0)).unionByName(fresh.select(*columns).withColumn("__v", F.lit(1)))
     both = both.withColumn("__k", F.xxhash64(*columns))
     return latest_by_key(both, ["hash"], ["__v", "expires_at", "__k"]).select(*columns)

@@ -62,8 +62,8 @@ def with_timeout(provider: Callable, seconds: float) -> Callable:
     return call
 
 
-def summarize(chunks: DataFrame, provider: Summarizer = template_summarizer, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """``chunks(hash, language_id, code, ...)`` with ``summary``; distinct code is summarized once.
+def summaries(chunks: DataFrame, provider: Summarizer = template_summarizer, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """``(hash, summary)`` of the distinct hashes of ``chunks(hash, language_id, code, ...)``.
 
     Batches are of one language; a batch that fails or returns another number of summaries gets the default one.
     """
@@ -89,7 +89,12 @@ def summarize(chunks: DataFrame, provider: Summarizer = template_summarizer, con
     # Of chunks of one hash the last one speaks for all.
     order = [c for c in ("seq", "language_id", "code") if c in chunks.columns]
     distinct = latest_by_key(chunks.select("hash", *{"language_id": 0, "code": 0, **dict.fromkeys(order)}), ["hash"], order).select("hash", "language_id", "code")
-    return chunks.join(distinct.mapInPandas(run, "hash string, summary string"), "hash")
+    return distinct.mapInPandas(run, "hash string, summary string")
+
+
+def summarize(chunks: DataFrame, provider: Summarizer = template_summarizer, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """``chunks(hash, language_id, code, ...)`` with ``summary``; distinct code is summarized once, as by :func:`summaries`."""
+    return chunks.join(summaries(chunks, provider, config), "hash")
 
 
 def embed(rows: DataFrame, text: str, provider: Embedder | None = None, config: EngineConfig = EngineConfig()) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.config import EngineConfig
+from loomdex.functions.hashing import vector_id
 from loomdex.functions.vectors import is_zero
 from loomdex.operators import cache as caches
 from loomdex.operators import merkle, models, vector_index
@@ -59,29 +60,31 @@ def process(
     they are neither cached nor stored, but count as processed, and make the status ``partial``.
     """
     watch = telemetry or Telemetry()
-    known = caches.latest(caches.alive(state.cache, now)).select("hash", "summary", "embedding", F.lit(True).alias("hit"))
-    looked = chunks.join(known, "hash", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    # Written, so that chunks are made and looked up once for all that follows.
+    known = caches.latest(caches.alive(state.cache, now)).select("hash", "summary", "embedding")
+    zero = is_zero(F.col("embedding"))
+    # Code and summaries are moved with their hash only; rows of chunks go without them.
+    looked = chunks.drop("code").join(known.select("hash", zero.alias("zero"), F.lit(True).alias("hit")), "hash", "left")
+    looked = looked.withColumn("hit", F.coalesce("hit", F.lit(False)))
     looked = materialize(watch.observe(looked, "lookup", received=F.count("*"), hits=F.count_if("hit")), "looked")
-    hits, misses = looked.where("hit"), looked.where("not hit").drop("summary", "embedding")
-    made = models.embed(models.summarize(misses, summarizer, config), "summary", embedder, config)
-    failed = F.count_if(is_zero(F.col("embedding")))
-    made = materialize(watch.observe(made, "models", processed=F.count("*"), failed=failed), "made")
-    good = made.where(~is_zero(F.col("embedding"))).select("hash", "summary", "embedding")
-    cache = caches.put(state.cache, latest_by_key(good, ["hash"], ["summary"]), now, config.embedding_ttl_days)
+    hits, misses = looked.where("hit"), looked.where("not hit").drop("zero")
+    unknown = chunks.join(hits.select("hash").distinct(), "hash", "left_anti").where(F.col("hash").isNotNull())
+    made = materialize(models.embed(models.summaries(unknown, summarizer, config), "summary", embedder, config), "made")
+    worked = misses.join(made.select("hash", zero.alias("zero")), "hash")
+    worked = materialize(watch.observe(worked, "models", processed=F.count("*"), failed=F.count_if("zero")), "worked")
+    cache = caches.put(state.cache, made.where(~zero), now, config.embedding_ttl_days, distinct=True)
     # Cached rows precede new ones; each in the order of the input.
-    every = hits.unionByName(made).withColumn("version", F.lit(version)).withColumn("seq", F.struct(~F.col("hit"), "seq"))
-    rows = vector_index.to_rows(every).drop("hit", "code")
-    vectors = rows if state.vectors is None else vector_index.upsert(state.vectors, rows.select(*state.vectors.columns))
-    if state.vectors is None:
-        vectors = latest_by_key(rows, ["id"], ["version", "seq"])
-    zero = is_zero(F.col("embedding"))
+    every = hits.unionByName(worked).withColumn("version", F.lit(version)).withColumn("seq", F.struct(~F.col("hit"), "seq"))
+    id_ = vector_id(F.col("user_id"), F.col("project_id"), F.col("hash"), True)
+    last = latest_by_key(every.where("not zero").drop("zero", "hit").withColumn("id", id_), ["id"], ["version", "seq"]).drop("id")
+    vectors = vector_index.to_rows(last.join(known.unionByName(made), "hash"))
+    if state.vectors is not None:
+        vectors = vector_index.upsert(state.vectors, vectors.select(*state.vectors.columns))
     counts = every.groupBy(*TENANT).agg(
         F.count("*").alias("received"),
         F.count_if(~F.col("hit")).alias("processed"),
         F.count_if("hit").alias("hits"),
-        F.count_distinct(F.when(~zero, F.col("hash"))).alias("stored"),
-        F.when(F.bool_or(zero), "partial").otherwise("indexed").alias("status"),
+        F.count_distinct(F.when(~F.col("zero"), F.col("hash"))).alias("stored"),
+        F.when(F.bool_or("zero"), "partial").otherwise("indexed").alias("status"),
     )
     vectors = materialize(watch.observe(vectors, "upsert", vectors=F.count("*")), "vectors")
     return State(materialize(cache, "cache"), vectors, state.roots, state.chunks), counts
@@ -120,12 +123,13 @@ def sync(
         kept = kept.unionByName(rest.join(dirty.select(*path).distinct(), path, "left_anti"))
     chunks = chunk_files(todo, config.chunks).withColumnRenamed("text", "code")
     chunks = materialize(chunks.withColumn("seq", F.struct("relative_path", "line_start")), "chunks")
-    after, counts = process(chunks, state, now, version, config=config, telemetry=telemetry, **providers)
     manifest = materialize(kept.unionByName(chunks.select(*path, "hash").distinct()), "manifest")
-    here = manifest.select(*TENANT, "hash").distinct()
-    others = after.vectors.join(changed, TENANT, "left_anti")
-    vectors = others.unionByName(after.vectors.join(changed, TENANT, "left_semi").join(here, [*TENANT, "hash"], "left_semi").select(*after.vectors.columns))
-    vectors = materialize(vectors, "vectors")
+    if state.vectors is not None:
+        # Before new ones come, which all have files: so vectors are written once.
+        here = manifest.select(*TENANT, "hash").distinct()
+        theirs = state.vectors.join(changed, TENANT, "left_semi").join(here, [*TENANT, "hash"], "left_semi")
+        state = replace(state, vectors=state.vectors.join(changed, TENANT, "left_anti").unionByName(theirs.select(*state.vectors.columns)))
+    after, counts = process(chunks, state, now, version, config=config, telemetry=telemetry, **providers)
     if store_roots and config.commit_mode == "last":
         store_roots(roots)
-    return State(after.cache, vectors, roots, manifest), counts
+    return State(after.cache, after.vectors, roots, manifest), counts

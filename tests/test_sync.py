@@ -357,6 +357,21 @@ def test_search_holds_no_matrix_of_all_pairs(monkeypatch):
             assert sorted((-r["score"], r["id"], r["mine"]) for r in got if r["query_id"] == names[i]) == want
 
 
+def test_code_is_written_once(spark, empty, monkeypatch):
+    """Looked-up rows and new entries go without code, and vectors are written once; deletions and copies come out as before."""
+    written, materialize = [], sync.materialize
+    monkeypatch.setattr(sync, "materialize", lambda df, name="table": (written.append((name, df.columns)), materialize(df, name))[1])
+    body = "\n".join(f"line {i} of some text that is long enough to be kept" for i in range(10))
+    files = spark.createDataFrame([("u", "p", "a.txt", body, "text"), ("u", "p", "b.txt", body, "text"), ("v", "p", "a.txt", body + " v", "text")], "user_id string, project_id string, relative_path string, content string, language_id string")
+    state, counts = sync.sync(files, empty, cache.literal_time(NOW), 1, CONFIG)
+    assert [name for name, columns in written if "code" in columns] == ["chunks"]
+    assert [name for name, columns in written if "summary" in columns] == ["made", "vectors", "cache"]
+    assert {(r.user_id, r.received, r.processed, r.stored) for r in counts.collect()} == {("u", 2, 2, 1), ("v", 1, 1, 1)}
+    assert {(r.user_id, r.relative_path) for r in state.vectors.collect()} == {("u", "b.txt"), ("v", "a.txt")}
+    again, _ = sync.sync(files.withColumn("content", F.concat("content", F.lit("!"))), state, cache.literal_time(NOW), 2, CONFIG)
+    assert again.vectors.count() == 2 and again.vectors.join(state.vectors, "id").count() == 0 and again.cache.count() == 4
+
+
 def test_vector_ids(spark):
     ids = spark.createDataFrame([("user-alice", "project-one", "h" * 64), ("a_b", "p", "hash")], "u string, p string, h string")
     short = hashing.vector_id(F.col("u"), F.col("p"), F.col("h"))
