@@ -141,28 +141,23 @@ def train(bags: Iterable[list[str]], y: np.ndarray, seed: int = 1) -> tuple[dict
 
 
 class WordScores(Remembered):
-    """Word to the mean of its subwords' numbers."""
+    """Word to the mean of its subwords' numbers.
+
+    It is broadcast itself: a worker remembers words from task to task, and forgets them and the model with the broadcast.
+    """
 
     def __init__(self, numbers: dict[str, float]):
         self.numbers = numbers
         super().__init__(self._mean, CACHE_WORDS, CACHE_CHARS)
 
+    def __reduce__(self):
+        return WordScores, (self.numbers,)
+
     def _mean(self, word: str) -> float:
         parts = subwords(word)
         return sum(filter(None, map(self.numbers.get, parts))) / len(parts)
 
 
-#: The last model's words, which a worker remembers from task to task.
-_last: WordScores | None = None
-
-
-def word_scores(numbers: dict[str, float]) -> WordScores:
-    global _last
-    if _last is None or _last.numbers is not numbers:
-        _last = WordScores(numbers)
-    return _last
-
-
 def score_text(text: str | None, words: WordScores, bias: float) -> float:
     values = list(map(words.__getitem__, words_of(text)))
     mean = math.fsum(values) / (len(values) + SMOOTHING)  # in any order of the set
@@ -184,11 +179,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
 def scored(docs: DataFrame, model: tuple[dict[str, float], float], name: str = "score") -> DataFrame:
     """``docs`` and a column of scores of the whole texts; null counts as empty, and empty texts score the bias."""
     numbers, bias = model
-    shared = docs.sparkSession.sparkContext.broadcast(numbers)
+    shared = docs.sparkSession.sparkContext.broadcast(WordScores(numbers))
 
     @F.pandas_udf("double")
     def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = word_scores(shared.value)
+        words = shared.value
         for texts in batches:
             yield pd.Series([score_text(t, words, bias) for t in texts], dtype="float64")
 

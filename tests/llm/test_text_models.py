@@ -206,3 +206,19 @@ def test_labels_of_absent_documents_take_no_place(spark, docs):
     eligible = [i for i in present if zlib.crc32(str(i).encode()) % 5]
     got = {r.d for r in labelled.training_rows(docs, labels, "toxic", 20).collect()}
     assert len(got) == 20 and got <= set(eligible)
+
+
+def test_remembered_words_stay_with_their_broadcast():
+    """Of a model's words only the model is sent, and no module holds what a worker remembers after its broadcast is gone."""
+    import gc
+    import pickle
+    import weakref
+
+    words = toxicity.WordScores({"<ab>": 1.0})
+    assert words["ab"] == toxicity.subwords("ab").count("<ab>") / len(toxicity.subwords("ab"))
+    sent = pickle.loads(pickle.dumps(words))
+    assert len(sent) == 0 and sent.numbers == words.numbers and sent["ab"] == words["ab"]
+    held = weakref.ref(sent)
+    del sent
+    gc.collect()
+    assert held() is None and not hasattr(toxicity, "_last")
