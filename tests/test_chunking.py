@@ -139,6 +139,22 @@ def test_long_files_are_cut_in_linear_time(spark):
         assert content[r.char_start : r.char_end] == r.text and content.count("\n", 0, r.char_start) == r.line_start - 1
 
 
+def test_long_comments_are_skipped():
+    """Long comments are passed over in jumps: the end of a declaration isn't looked for character by character."""
+
+    class Counted(str):
+        looked = 0
+
+        def __getitem__(self, at):
+            Counted.looked += 1
+            return str.__getitem__(self, at)
+
+    assert ast_chunks._end_of(Counted("x" * 10_000 + "(" + " " * 10_000 + ");"), 0, {10_000: 20_001}, False) == 20_003 and Counted.looked < 20
+    code = "function f(a) {\n  return a;\n}\nconst x = [1,\n// " + "word " * 2000 + "\n2];\nclass K {\n  run(a) {\n  // " + "word " * 2000 + "\n  }\n}\n"
+    nodes = ast_chunks.parse(code, "typescript")
+    assert [(n.kind, n.name, code[n.end - 1]) for n in nodes] == [("function_declaration", "f", "}"), ("lexical_declaration", None, ";"), ("class_declaration", "K", "}")]
+
+
 def test_files_fall_back(spark):
     body = "def f():\n    return 'a long enough body of a function'\n\n" + "# a gap that is long enough to be kept\n" * 3
     rows = [("p", "a.py", body, "python"), ("p", "b.py", "not ( python at all, but long enough", "python"), ("p", "c.java", "class X { int a; } // long enough", "java")]
